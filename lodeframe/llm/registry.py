@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import ann, media, mixing, packing, sharding, simhash
+from lodeframe.llm import ann, media, mixing, packing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,12 @@ def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_webp": op9_webp}
+    return {"op1_simhash": op1_simhash, "op2_substring": op2_substring, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_webp": op9_webp, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
