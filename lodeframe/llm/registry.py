@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import ann, media, mixing, packing, quality, sharding, simhash, substring
+from lodeframe.llm import ann, chat, lm_scoring, media, mixing, packing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.chat_calls(_table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.CHAT_SCHEMAS)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_substring": op2_substring, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_webp": op9_webp, "op10_quality": op10_quality}
+    return {"op1_simhash": op1_simhash, "op2_substring": op2_substring, "op3_sharding": op3_sharding, "op4_ann": op4_ann, "op5_chat": op5_chat, "op6_lm_scoring": op6_lm_scoring, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_webp": op9_webp, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
