@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeframe.llm.common import cut, text_blocks, utf8
 from lodeframe.llm.graph import components
@@ -330,3 +331,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = placed.join(leaders, "root").select(F.col("fp").alias("class_fp"), "component_id")
     joined = of.join(classes, F.col("fp") == F.col("class_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that lead their component (doc_id, component_id) of classes, all columns: one document of
+    each group stays, and one row of each id. Rows without an id belong to no group that could be named; they stay."""
+    leaders = classes.where("component_id is not null").select(F.col("component_id").alias("_leader")).distinct()
+    kept = docs.join(leaders, docs[id_col].cast("long") == F.col("_leader"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
+    one = kept.withColumn("_row_of_id", F.row_number().over(first)).where("_row_of_id = 1").select(*docs.columns)
+    return one.unionAll(docs.where(docs[id_col].isNull()))
