@@ -136,7 +136,7 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
-def with_prefix(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, *, before: str = "before", per_bucket: int = 50_000) -> DataFrame:
+def with_prefix(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, *, before: str = "before", per_bucket: int = 5_000) -> DataFrame:
     """Adds the exact sum of value over the rows of the same keys that come earlier in order.
 
     order[0] has to be a hash spread over all longs: its top part deals the rows of each key into buckets, so

@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, per_bucket: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, per_bucket: int = 5_000) -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Sequences hold at most capacity ids, gapless from offset 0. Repeated rows and equal texts are packed each for
