@@ -136,7 +136,7 @@ def money_frame(catalog: Any, query: Any) -> DataFrame:
     base = Compiler(catalog, "J").frame({**q, "columns": [{**e, "as": f"_m{i}"} for i, e in enumerate(needed)]})
     if grouped:
         plain = {n for n, _, c in built if "aggregate" not in c}
-        out = base.groupBy(*keys).agg(*[(F.first(c) if n in plain else c).alias(n) for n, c, _ in built])
+        out = base.groupBy(*keys).agg(*[(F.first(c) if n in plain else c).alias(n) for n, c, _ in built]).select(*[F.col(f"`{n}`") for n, _, _ in built])
     else:
         out = base.select(*[c.alias(n) for n, c, _ in built])
     if rest.get("orderBy"):
