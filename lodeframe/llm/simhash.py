@@ -336,8 +336,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that lead their component (doc_id, component_id) of classes, all columns: one document of
     each group stays, and one row of each id. Rows without an id belong to no group that could be named; they stay."""
-    leaders = classes.where("component_id is not null").select(F.col("component_id").alias("_leader")).distinct()
-    kept = docs.join(leaders, docs[id_col].cast("long") == F.col("_leader"), "left_semi")
+    leaders = classes.where("component_id is not null").select(F.col("component_id").alias("_lodeframe_leader")).distinct()
+    kept = docs.join(leaders, docs[id_col].cast("long") == F.col("_lodeframe_leader"), "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    one = kept.withColumn("_row_of_id", F.row_number().over(first)).where("_row_of_id = 1").select(*docs.columns)
+    one = kept.withColumn("_lodeframe_row", F.row_number().over(first)).where("_lodeframe_row = 1").select(*docs.columns)
     return one.unionAll(docs.where(docs[id_col].isNull()))
