@@ -18,9 +18,7 @@ from lodeframe.errors import QueryError, UnsupportedError
 from lodeframe.sources.catalog import RANKS, Catalog, class_of
 
 INFINITY = "CAST('Infinity' AS DOUBLE)"
-AGGREGATES = ("count", "sum", "avg", "min", "max", "first", "last")
 HINTS = {"hash": "SHUFFLE_HASH", "merge": "MERGE", "lookup": "BROADCAST", "batchedLookup": "BROADCAST", "nestedLoop": "SHUFFLE_REPLICATE_NL"}
-FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 def quoted(name: str) -> str:
@@ -53,6 +51,7 @@ class Scope:
     equal: list[tuple[str, str, str, str]] = field(default_factory=list)  # (outer alias, field, own alias, field)
     carried: dict[tuple[str, str], str] = field(default_factory=dict)
     carries: list[tuple[str, str, str, Scope]] = field(default_factory=list)
+    source: str = ""
 
     def term(self, alias: str, name: str) -> Term:
         return self.lookup(alias, name) if self.lookup else self.relations[alias].fields[name]
@@ -353,6 +352,7 @@ class Compiler:
         ordered = any(e["aggregate"]["function"].lower() in ("first", "last") for e in found if "aggregate" in e) or (grouping and not self.j)
         flags = Flags(order=ordered, presence=not q.get("columns") and not existence and bool(q["from"].get("joins")), governed=governed)
         source, aliases, _ = self.tree(q["from"], scope, "from", flags)
+        scope.source = source
         scope.equal = list(self.equalities(q.get("where"), scope))
         where = [self.condition(scope, q["where"], f"{path}.where" if path else "where")] if q.get("where") else []
         if not grouping and q.get("having"):  # R: filters rows
@@ -374,7 +374,9 @@ class Compiler:
         if not self.j or grouping:
             for n in {n for n in names if names.count(n) > 1}:
                 raise QueryError("join_plan" if self.j else "shape", "columns", f"duplicate column {n}")
-        source += self.outer_values(scope)
+        outer_join, handed = self.outer_values(scope)
+        source += outer_join
+        where += handed
         hints = f"/*+ {', '.join(flags.hints)} */ " if flags.hints else ""
         where_sql = f" WHERE {' AND '.join(where)}" if where else ""
         if grouped is not None:
@@ -397,11 +399,17 @@ class Compiler:
             sql += tail
         return sql, [(n, t.kind, t.type) for n, t in columns], scope
 
-    def outer_values(self, scope: Scope) -> str:
-        """The join with distinct outer values for fields that inner levels take from further out."""
+    def outer_values(self, scope: Scope) -> tuple[str, list[str]]:
+        """The join with the distinct outer values of fields that inner levels take from further out, and the
+        conditions that tie them to the row of the level above."""
         if not scope.carries:
-            return ""
-        raise UnsupportedError("correlation over several levels without an equality that hands the field on")
+            return "", []
+        home = scope.carries[0][3]
+        if home is None or home.lookup or not home.source or any(h is not home or a == "_outer" for a, _, _, h in scope.carries):
+            raise UnsupportedError("correlation over more than two levels, or into a grouped query, without equalities that hand the field on")
+        names = [(scope.carried[a, n], sql) for a, n, sql, _ in scope.carries]
+        values = ", ".join(f"{sql} AS {name}" for name, sql in names)
+        return f" CROSS JOIN (SELECT DISTINCT {values} FROM {home.source}) AS _outer", [f"(_outer.{name} <=> {sql})" for name, sql in names]
 
     def equalities(self, c: Mapping[str, Any] | None, scope: Scope) -> Any:
         """Top-level conjuncts own.field == outer.field of a WHERE."""
@@ -610,6 +618,15 @@ def _walk(q: Mapping[str, Any]) -> Any:
         yield from walk(q.get(part))
 
 
+def aggregates_of(q: Mapping[str, Any]) -> list[Mapping[str, Any]]:
+    """Different aggregates of the columns, HAVING and ORDER BY of one level."""
+    out: list[Mapping[str, Any]] = []
+    for e in _walk(q):
+        if "aggregate" in e and e["aggregate"] not in out:
+            out.append(e["aggregate"])
+    return out
+
+
 def expression_text(e: Mapping[str, Any]) -> str:
     if e.get("star"):
         return "*"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 from lodeframe.errors import QueryError
 from lodeframe.plans.compile import Compiler
@@ -23,6 +25,38 @@ def to_frame(catalog: Catalog, query: Query | str | Mapping[str, Any], *, dialec
     return Compiler(catalog, q.dialect).frame(q.body, governed=governed)
 
 
+def check_overflow(catalog: Catalog, query: Query | str | Mapping[str, Any], *, dialect: str | None = None) -> None:
+    """Evaluates every aggregate of every group, also of groups that HAVING or LIMIT would drop: an overflow anywhere
+    is an error. One more pass over the input, so it is asked for."""
+    from lodeframe.plans.compile import aggregates_of
+
+    q = query if isinstance(query, Query) else parse(query, dialect=dialect)
+    found = aggregates_of(q.body)
+    if found:
+        body = {k: q.body[k] for k in ("from", "where", "groupBy") if k in q.body}
+        body["columns"] = [{"aggregate": a, "as": f"a{i}"} for i, a in enumerate(found)]
+        try:
+            Compiler(catalog, q.dialect).frame(body).write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            raise translated(e) from e
+
+
+def observed(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """df with a count of the rows that pass, to be read when the query is over."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], Any]]:
+    """Queries run inside can be cancelled from another thread by calling what this gives."""
+    spark.addTag(tag)
+    try:
+        yield lambda: spark.interruptTag(tag)
+    finally:
+        spark.removeTag(tag)
+
+
 def run(catalog: Catalog, query: Query | str | Mapping[str, Any], **options: Any) -> list[dict[str, Any]]:
     """Rows of a query as dicts; what Spark raises inside a query comes as QueryError."""
     try:

@@ -6,7 +6,7 @@ import pytest
 
 from lodeframe.errors import QueryError, UnsupportedError
 from lodeframe.plans.document import parse
-from lodeframe.plans.run import bounded, pages, run, to_frame
+from lodeframe.plans.run import bounded, cancellable, check_overflow, observed, pages, run, to_frame
 from lodeframe.sources.catalog import Catalog
 
 
@@ -195,3 +195,25 @@ def test_rights_need_composition(tables, spark):
         validate_read_plan({**plan, "digest": digest([1])})
     assert canonical_json({"b": 1.0, "a": [1e21, 0.000001, 1e-7, -0.0, True, None]}) == '{"a":[1e+21,0.000001,1e-7,0,true,null],"b":1}'
     assert math.isfinite(len(digest({})))
+
+
+def test_fields_from_two_levels_out(tables):
+    """With and without an equality that hands the field on."""
+    inner = lambda op: {"from": {"name": "Sale", "as": "t"}, "where": {"op": op, "left": field("id", "t"), "right": field("id", "s")}}
+    body = lambda link, op: {"from": {"name": "Sale", "as": "s"}, "where": {"exists": {"query": {"from": {"name": "A", "as": "a"}, "where": {"and": [*link, {"exists": {"query": inner(op)}}]}}}}, "columns": [field("id", "s")]}
+    equal = [{"op": "==", "left": field("id", "a"), "right": field("id", "s")}]
+    assert ids(run(tables, body(equal, "=="))) == [1, 2]
+    assert ids(run(tables, body(equal, ">"))) == [1, 2]
+    assert ids(run(tables, body([], ">"))) == [1, 2, 3]
+    assert ids(run(tables, body([{"op": "<", "left": field("id", "a"), "right": field("id", "s")}], "<"))) == [2, 3, 4]
+
+
+def test_strict_overflow_progress_and_tags(tables, spark):
+    hidden = {"from": {"name": "Big"}, "groupBy": [field("g")], "columns": [field("g")], "having": {"op": "==", "left": field("g"), "right": {"value": "b"}}, "orderBy": [{"aggregate": {"function": "sum", "args": [field("x")]}}]}
+    with pytest.raises(QueryError, match="overflow"):
+        check_overflow(tables, hidden)
+    check_overflow(tables, {**hidden, "where": {"op": "==", "left": field("g"), "right": {"value": "b"}}})
+    df, seen = observed(to_frame(tables, {"from": {"name": "Sale"}, "columns": [field("id")]}))
+    with cancellable(spark, "t") as cancel:
+        assert df.count() == 4 and callable(cancel)
+    assert seen.get["rows"] == 4

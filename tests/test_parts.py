@@ -97,3 +97,12 @@ def test_stream(spark, tmp_path):
     q = to_memory(stream_enriched(stream_parquet(spark, str(tmp_path / "facts"), facts), dim, {"k": "k"}), "enriched")
     q.awaitTermination()
     assert spark.sql("SELECT count(*) AS n FROM enriched WHERE (id % 2 = 1) = (name = 'odd')").first()["n"] == 20
+
+
+def test_codecs(spark):
+    from lodeframe.functions.codecs import identity_codec, json_codec
+
+    df = spark.createDataFrame([('{"a":1}',)], "v string")
+    c = json_codec("v", "a int")
+    assert c.decode(df).first()["v"]["a"] == 1 and c.encode(c.decode(df)).first()["v"] == '{"a":1}'
+    assert identity_codec().decode(df) is df
