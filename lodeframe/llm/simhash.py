@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 from math import comb
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.llm.common import cut, text_blocks, utf8
+from lodeframe.llm.common import Words, cut, mix64, text_blocks, utf8
 from lodeframe.llm.graph import components
 
 SEED = 42
@@ -39,15 +40,19 @@ def fingerprint_words(words: list[bytes], width: int) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))
 
 
-def fingerprint_block(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """Fingerprints (uint64) of UTF-8 texts; a text without words has 0."""
+def _shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and each text's number of them."""
     each = [fingerprint_words(t.lower().split(), width) for t in texts]
     counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(counts.sum())), counts
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text the bits set in over half of its hashes; 0 for a text without any."""
+    out = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        flat = np.fromiter((h for x in each for h in x), dtype=np.uint64, count=int(counts.sum()))
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = (np.cumsum(counts) - counts)[some]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         packed = np.packbits(2 * ones > counts[some, None], axis=1, bitorder="little")
@@ -55,6 +60,11 @@ def fingerprint_block(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
+def fingerprint_block(texts: list[bytes], width: int = 3) -> np.ndarray:
+    """Fingerprints (uint64) of UTF-8 texts; a text without words has 0."""
+    return _majority(*_shingle_hashes(texts, width))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp long): one row for each row of docs. Null and empty texts have fingerprint 0."""
 
@@ -314,18 +324,172 @@ def near_links(fps: DataFrame, rows: int, *, distance: int = 3, groups: int | No
     return links_in_cells(met, distance)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, groups: int | None = None, cell: int = CELL) -> DataFrame:
+#: Words of a segment on average, and the fewest that make one.
+SEGMENT, LEAST_SEGMENT = 16, 5
+#: Longs of a wide fingerprint.
+WIDE = 4
+
+
+def segments(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the segments of each text: its words, lower-cased, cut after words whose own hash says so. An edit
+    changes one or two segments; all others stay."""
+    words = Words([t.lower() for t in texts])
+    n = len(words.hashes)
+    if not n:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    ends = words.hashes % np.uint64(SEGMENT) == 0
+    start = np.append(True, ends[:-1] | (words.text[1:] != words.text[:-1]))
+    at = np.flatnonzero(start)
+    size = np.diff(np.append(at, n))
+    place = (np.arange(n) - np.repeat(at, size)).astype(np.uint64)
+    summed = mix64(np.add.reduceat(mix64(words.hashes + place * np.uint64(0x9E3779B97F4A7C15)), at))
+    kept = size >= LEAST_SEGMENT
+    of, summed = words.text[at][kept], summed[kept]
+    edge = np.searchsorted(of, np.arange(len(texts) + 1))
+    return [np.unique(summed[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which texts of that shingle similarity (Jaccard) are expected, with
+    a margin of two deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    return round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, fp, wide, segments): as fingerprints(), with a fingerprint of 64 * WIDE bits and the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, fps, wides, parts = utf8(batch.column(1)), [np.zeros(0, np.uint64)], [np.zeros((0, WIDE), np.uint64)], []
+            for low, high in text_blocks(texts):
+                hashes, counts = _shingle_hashes(texts[low:high], width)
+                fps.append(_majority(hashes, counts))
+                wides.append(np.stack([_majority(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)), counts) for k in range(WIDE)], axis=1))
+                parts += segments(texts[low:high])
+            wide = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(wides).view(np.int64).ravel()), WIDE).cast(pa.list_(pa.int64()))
+            listed = pa.array([x.view(np.int64) for x in parts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64)), wide, listed], ["doc_id", "fp", "wide", "segments"])
+
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, fp long, wide array<long>, segments array<long>")
+
+
+def wide_forest(fp: np.ndarray, wide: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, over fp, of the pairs whose wide fingerprints differ in up to limit bits."""
+    left, us, vs = np.arange(len(fp)), [], []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, min(len(front), (1 << 18) // len(left)))
+            near = np.bitwise_count(wide[front[:step], None, :] ^ wide[None, left, :]).sum(axis=2, dtype=np.int32) <= limit
+            hit = near.any(axis=0)
+            us.append(fp[left[hit]])
+            vs.append(fp[front[:step]][near.argmax(axis=0)[hit]])
+            front, left = np.concatenate([front[step:], left[hit]]), left[~hit]
+    none = np.zeros(0, fp.dtype)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def segment_links(distinct: DataFrame, similarity: float, *, cell: int = CELL) -> DataFrame:
+    """(u, v) links between distinct fingerprints (fp, wide, segments) that share a segment and whose wide
+    fingerprints are within wide_limit(similarity).
+
+    Segments that one fingerprint alone has go first; what is left meets by segment, in a grid of cells where a
+    segment has more than `cell` fingerprints. Each cell emits a spanning forest.
+    """
+    limit = wide_limit(similarity)
+    each = distinct.select(F.explode("segments").alias("seg"), "fp")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by segment: those whose segment stands in the row before or after, with its place in the run."""
+        last, count = None, 0
+        held = None
+        for batch in batches:
+            seg, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(seg):
+                continue
+            new = np.append(last is None or seg[0] != last, seg[1:] != seg[:-1])
+            at = np.arange(len(seg))
+            first = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(first >= 0, at - first, at + count)
+            follow = np.append(~new[1:], False)
+            keep = ~new | follow
+            out = [(seg[keep], fp[keep], place[keep])]
+            if held is not None and not new[0]:
+                out.insert(0, held)
+            held = (seg[-1:], fp[-1:], place[-1:]) if new[-1] else None
+            last, count = seg[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["seg", "fp", "place"])
+
+    met = cut(each.repartition("seg").sortWithinPartitions("seg", "fp").mapInArrow(shared, "seg long, fp long, place long"), "segments")
+    most = met.groupBy("seg").agg(F.max("place").alias("most")).where(F.col("most") >= cell).select(F.col("seg").alias("hot_seg"), (F.floor(F.col("most") / cell) + 1).cast("int").alias("k"))
+    joined = met.join(most, F.col("seg") == F.col("hot_seg"), "left").withColumn("own", F.floor(F.col("place") / cell).cast("int"))
+    k = F.coalesce("k", F.lit(1))
+    # cell (i, j), i <= j, holds parts i and j of a segment
+    cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least("own", j) * k + F.greatest("own", j))
+    dealt = joined.select("seg", F.explode(cells).alias("cell"), "fp")
+    wide = distinct.select(F.col("fp").alias("wide_fp"), "wide")
+    placed = dealt.join(wide, F.col("fp") == F.col("wide_fp")).select("seg", "cell", "fp", "wide").repartition("seg", "cell").sortWithinPartitions("seg", "cell", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)]
+            if not len(now[0]):
+                continue
+            if kept is not None:
+                now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+            other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            done = int(other[-1]) + 1 if len(other) else 0
+            kept = [x[done:] for x in now]
+            yield from told([x[:done] for x in now])
+        if kept is not None:
+            yield from told(kept)
+
+    def told(now) -> Iterator[pa.RecordBatch]:
+        seg, cell_, fp, bits = now
+        if not len(seg):
+            return
+        edge = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (cell_[1:] != cell_[:-1])))
+        size = np.diff(np.append(edge, len(seg)))
+        us, vs = [], []
+        two = edge[size == 2]
+        near = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= limit if len(two) else np.zeros(0, bool)
+        us.append(fp[two[near]])
+        vs.append(fp[two[near] + 1])
+        for a, n in zip(edge[size > 2], size[size > 2], strict=True):
+            u, v = wide_forest(fp[a : a + n], bits[a : a + n], limit)
+            us.append(u)
+            vs.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return placed.mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None, groups: int | None = None, cell: int = CELL) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
-    component_id is the least doc_id that fingerprints within distance bits reach. Null, empty and blank texts
-    have fingerprint 0 and link like any other. Repeated rows and equal texts share a fingerprint and so a
-    component. A null doc_id keeps its row; it does not lead a component unless no other is there. An empty
-    table gives an empty result. Other columns of docs are not looked at.
+    component_id is the least doc_id that fingerprints within distance bits reach. With a similarity, texts that
+    share a segment and whose wide fingerprints are as near as that similarity lets expect are linked as well:
+    a similarity of 0.8 moves a 64-bit fingerprint by ten bits, further than any partition can be probed.
+    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows and equal texts share a
+    fingerprint and so a component. A null doc_id keeps its row; it does not lead a component unless no other is
+    there. An empty table gives an empty result. Other columns of docs are not looked at.
     """
-    of = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    if similarity is None:
+        of = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+        distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    else:
+        of = cut(sketches(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "wide", "segments"))
+        distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("least"), one.alias("_one")).select("fp", "least", "_one.wide", "_one.segments"), "distinct")
     rows = distinct.count()
-    roots = components(near_links(distinct, rows, distance=distance, groups=groups, cell=cell))
+    links = near_links(distinct, rows, distance=distance, groups=groups, cell=cell)
+    if similarity is not None:
+        links = links.unionAll(segment_links(distinct, similarity, cell=cell))
+    roots = components(links)
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     leaders = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(leaders, "root").select(F.col("fp").alias("class_fp"), "component_id")

@@ -195,3 +195,42 @@ def test_error_bounds_hold():
     turn = ann.rotation(64)
     estimate, error = ann.bounds(*ann.encode(x, turn), q, turn)
     assert (np.abs(estimate - q @ x.T) <= error).mean() > 0.99
+
+
+def edited_rows(seed=8):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    rows, groups = [], {}
+    for g in range(12):
+        base = [word() for _ in range(r.randint(90, 400))]
+        for copy in range(5):
+            words = list(base)
+            if copy:
+                for _ in range(max(1, len(words) // 70)):
+                    words[r.randrange(len(words))] = word()
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    return rows, groups
+
+
+@pytest.mark.parametrize("cell", [20_000, 2])
+def test_similar_texts_are_linked_and_others_left(spark, cell):
+    rows, groups = edited_rows()
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8, cell=cell).collect()}
+    assert len(set(out.values())) <= 14  # of 12 groups
+    assert all(groups[i] == groups[c] for i, c in out.items())
+
+
+def test_segments_and_wide_fingerprints():
+    text = " ".join(f"w{i}" for i in range(600)).encode()
+    changed = text.replace(b"w300 ", b"other ")
+    a, b = simhash.segments([text, changed])
+    assert len(a) > 15 and len(np.setdiff1d(a, b)) <= 2 and len(simhash.segments([b"", b"one"])[0]) == 0
+    assert simhash.wide_limit(1.0) == 0 and simhash.wide_limit(0.9) < simhash.wide_limit(0.8) < 60
+
+
+def test_similarity_edge_tables(spark):
+    rows = frame(spark, [(None, None), (1, ""), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f")])
+    out = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(rows, width=5, similarity=0.8).collect())
+    assert out == [(0, 1), (1, 1), (2, 2), (2, 2), (3, 2)]
+    assert simhash.near_duplicates(frame(spark, []), width=5, similarity=0.8).count() == 0
