@@ -16,6 +16,11 @@ from lodeframe.errors import QueryError
 BROADCAST_BYTES = 64 << 20
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a plan's result as its statistics have it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def enrich(df: DataFrame, dimension: DataFrame, on: dict[str, str], *, columns: list[str] | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with columns of the row of dimension whose key matches (on: column of df to column of dimension).
 
@@ -24,7 +29,7 @@ def enrich(df: DataFrame, dimension: DataFrame, on: dict[str, str], *, columns:
     """
     chosen = columns or [c for c in dimension.columns if c not in on.values()]
     side = dimension.select(*[F.col(b).alias(f"_on_{i}") for i, b in enumerate(on.values())], *chosen)
-    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = estimated_bytes(side)
     condition = [df[a] == F.col(f"_on_{i}") for i, a in enumerate(on)]
     joined = df.join(F.broadcast(side) if size <= most_bytes else side, condition, "left")
     return joined.select(*df.columns, *chosen)

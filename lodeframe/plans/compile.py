@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from lodeframe.errors import QueryError, UnsupportedError
+from lodeframe.operators.lookup import BROADCAST_BYTES, estimated_bytes
 from lodeframe.sources.catalog import RANKS, Catalog, class_of
 
 INFINITY = "CAST('Infinity' AS DOUBLE)"
@@ -338,8 +339,11 @@ class Compiler:
         return "(" + " AND ".join([f"{sides[0]} = {sides[1]}", *nan]) + ")"
 
     def hint(self, j: Mapping[str, Any], aliases: list[str]) -> list[str]:
-        names = (j.get("hints") or {}).get("algorithms") or []
-        return [f"{HINTS[names[0]]}({quoted(aliases[0])})"] if names and self.j else []
+        """Spark's hint for the first algorithm that fits: those that copy the right side need it to be small."""
+        for name in (j.get("hints") or {}).get("algorithms") or [] if self.j else []:
+            if name in ("hash", "merge") or ("query" not in j["from"] and estimated_bytes(self.catalog.find(j["from"]).open()) <= BROADCAST_BYTES):
+                return [f"{HINTS[name]}({quoted(aliases[0])})"]
+        return []
 
     # -- queries -----------------------------------------------------------------------------------------
 
