@@ -64,7 +64,6 @@ class Compiler:
         self.frames: dict[str, DataFrame] = {}
         self.args: dict[str, Any] = {}
         self.numbers = itertools.count()
-        self.checks: list[str] = []
 
     # -- parts -------------------------------------------------------------------------------------------
 
@@ -84,7 +83,6 @@ class Compiler:
 
     def finite(self, sql: str, message: str) -> str:
         bad = f"isnan({sql}) OR abs({sql}) = {INFINITY}"
-        self.checks.append(bad)
         return f"CASE WHEN {bad} THEN {self.raised(message, 'DOUBLE')} ELSE {sql} END"
 
     def resolve(self, scope: Scope, ref: Mapping[str, Any], path: str) -> Term:
@@ -328,8 +326,6 @@ class Compiler:
         for t in (a, b):
             if t.kind in ("list", "other") and self.j:
                 return self.raised("join_key_type at from: objects and lists are no join keys")
-            if t.type in ("double", "float") and self.j:
-                self.checks.append(f"isnan({t.sql})")
         if t.kind in ("list", "other"):
             return "false"
         sides = self.alike(a, b)
