@@ -20,44 +20,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import Words, cut, utf8
+from lodeframe.llm.common import Words, cut, text_blocks, utf8
 
 BACKOFF = 0.4
-START = np.uint64(0x53544152542D4D4B)
+START = np.uint64(0x53544152542D4D)
 HOT = 1000
 #: Words of one block of documents, and of one partition of the counts (a longer document is a block of its own).
-BLOCK_WORDS, BUCKET_WORDS = 1_500_000, 2_000_000
+BLOCK_WORDS, BUCKET_WORDS = 2_500_000, 2_000_000
 MOST_DOCS = 65_535
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Words]]:
+class Block:
+    """Words of some documents, hashed a bounded stretch of text at a time: hashes, and the document of each.
+
+    Hashes keep 56 bits, so that messages hold seven bytes for each.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        hashes, text = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for low, high in text_blocks(texts):
+            words = Words(texts[low:high])
+            hashes.append(words.hashes >> np.uint64(8))
+            text.append(words.text + low)
+        self.hashes, self.text = np.concatenate(hashes), np.concatenate(text)
+        self.sizes = np.bincount(self.text, minlength=len(texts))
+
+    def contexts(self) -> np.ndarray:
+        before = np.append(START, self.hashes[:-1])[: len(self.hashes)]
+        first = np.append(True, self.text[1:] != self.text[:-1])[: len(self.hashes)]
+        before[first] = START
+        return before
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, Block]]:
     """Numbered blocks of documents of one task: (number, ids, words)."""
     number = 0
     for batch in batches:
         texts = utf8(batch.column(1))
         low, held = 0, 0
         for i in range(len(texts) + 1):
-            size = len(texts[i]) // 4 if i < len(texts) else 0
+            size = len(texts[i]) // 6 if i < len(texts) else 0
             if i > low and (i == len(texts) or held + size > BLOCK_WORDS or i - low == MOST_DOCS):
-                yield number, batch.column(0)[low:i], Words(texts[low:i])
+                yield number, batch.column(0)[low:i], Block(texts[low:i])
                 number, low, held = number + 1, i, 0
             held += size
 
 
-def _contexts(words: Words) -> np.ndarray:
-    before = np.append(START, words.hashes[:-1])[: len(words.hashes)]
-    first = np.append(True, words.text[1:] != words.text[:-1])[: len(words.hashes)]
-    before[first] = START
-    return before
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, before): counts of each word hash, and of it before another word or (the start mark) a text."""
 
     def run(batches):
         for _, _, words in _blocks(batches):
             seen, n = np.unique(words.hashes, return_counts=True)
-            context, before = np.unique(_contexts(words), return_counts=True)
+            context, before = np.unique(words.contexts(), return_counts=True)
             both = np.union1d(seen, context)
             columns = []
             for keys, values in ((seen, n), (context, before)):
@@ -70,16 +85,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays one after another; of unsigned 64-bit ones (hashes) the low seven bytes."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        raw = a.view(np.uint8).reshape(-1, 8)[:, :7].tobytes() if a.dtype == np.uint64 else a.tobytes()
+        out += [len(a).to_bytes(8, "little"), raw]
+    return b"".join(out)
 
 
 def _unpack(data, *types: str) -> list[np.ndarray]:
     out, at = [], 0
     for t in types:
         n = int.from_bytes(data[at : at + 8], "little")
-        a = np.frombuffer(data, t, n, at + 8)
-        out.append(a)
-        at += 8 + a.nbytes
+        at += 8
+        if t == "<u8":
+            a = np.zeros((n, 8), np.uint8)
+            a[:, :7] = np.frombuffer(data, np.uint8, 7 * n, at).reshape(n, 7)
+            out.append(a.view("<u8").ravel())
+            at += 7 * n
+        else:
+            out.append(np.frombuffer(data, t, n, at))
+            at += out[-1].nbytes
     return out
 
 
@@ -93,7 +120,7 @@ def _group(*keys: np.ndarray) -> np.ndarray:
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 # messages: (kind, to, block, data). kind 0: bigrams for count partition `to`; 1: words that backed off, for word
@@ -113,11 +140,11 @@ def _explode(hot: np.ndarray, buckets: int):
         task = TaskContext.get().partitionId()
         for number, ids, words in _blocks(batches):
             block = task << 24 | number
-            sizes = np.diff(words.bounds())
+            sizes = words.sizes
             known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
             plain = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield _messages([(3, block, block, _pack(plain, sizes.astype(np.int64), known.astype(np.int64)))])
-            v, w, doc = _contexts(words), words.hashes, words.text.astype(np.uint16)
+            v, w, doc = words.contexts(), words.hashes, words.text.astype(np.uint16)
             pair = v * np.uint64(0x9E3779B97F4A7C15) ^ w
             to = _spread(np.where(np.isin(v, hot), pair * np.uint64(0xD6E8FEB86659FD93), v), buckets)
             order = np.lexsort((doc, w, v, to))
