@@ -50,6 +50,8 @@ class WordBpe:
     KEPT = 50_000
     #: Bytes of the longest word merged here; merge rounds grow with the square of a run.
     LONGEST = 256
+    STRETCH = 4 << 20
+    _SPACE = re.compile(rb"[ \n\t]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -180,7 +182,21 @@ class WordBpe:
         return [self.kept[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids (uint32) of each text."""
+        """Ids (uint32) of each text. A text longer than STRETCH goes through in stretches that end in white space, as
+        no id reaches over it."""
+        return [self._encode([t])[0] if len(t) <= self.STRETCH else np.concatenate([self._encode([p])[0] for p in self._stretches(t)]) for t in texts] if max(map(len, texts), default=0) > self.STRETCH else self._encode(texts)
+
+    def _stretches(self, text: bytes) -> list[bytes]:
+        out, low = [], 0
+        while len(text) - low > self.STRETCH:
+            found = self._SPACE.search(text, low + self.STRETCH)
+            if not found:
+                break
+            out.append(text[low : found.start()])
+            low = found.start()
+        return [*out, text[low:]]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         joined = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(joined, dtype=np.uint8)
         kind = _CLASS[raw].copy()

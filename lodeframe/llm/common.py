@@ -44,6 +44,12 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2500) -> None:
+    """From now on this session's Arrow batches hold so many rows at most: with whole texts in them, Spark's own
+    default of 10,000 takes some hundred MB in each executor, on both sides of the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, in place."""
     h ^= h >> np.uint64(33)
@@ -86,10 +92,18 @@ class Words:
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.text_starts = np.cumsum(lengths) - lengths
         self.text = np.searchsorted(self.text_starts, self.starts, side="right") - 1
-        up, down = _powers(len(self.buffer) + 1)
-        sums = np.zeros(len(self.buffer) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buffer] * up[: len(self.buffer)], out=sums[1:])
-        self.hashes = mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
+        low = 0
+        while low < len(self.starts):  # a bounded stretch at a time, whatever the text's length
+            base = self.starts[low]
+            high = max(low + 1, int(np.searchsorted(self.starts, base + BLOCK_BYTES)))
+            stretch = self.buffer[base : self.ends[high - 1]]
+            up, down = _powers(len(stretch) + 1)
+            sums = np.zeros(len(stretch) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[stretch] * up[: len(stretch)], out=sums[1:])
+            first, last = self.starts[low:high] - base, self.ends[low:high] - base
+            self.hashes[low:high] = mix64((sums[last] - sums[first]) * down[first])
+            low = high
 
     def bounds(self) -> np.ndarray:
         """For each text the index of its first word, and the number of words at the end."""

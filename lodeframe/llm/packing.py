@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         bpe = word_bpe(tokenizer)
         for batch in batches:
             texts, row, number, start, length, crc = utf8(batch.column(1)), [], [], [], [], []
-            for low, high in text_blocks(texts, 4 << 20):
+            for low, high in text_blocks(texts, 2 << 20):
                 for i, ids in enumerate(bpe.encode(texts[low:high]), low):
                     ids = np.append(ids, np.uint32(0))
                     for k, s in enumerate(range(0, len(ids), capacity)):
