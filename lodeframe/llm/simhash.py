@@ -328,6 +328,8 @@ def near_links(fps: DataFrame, rows: int, *, distance: int = 3, groups: int | No
 SEGMENT, LEAST_SEGMENT = 16, 5
 #: Longs of a wide fingerprint.
 WIDE = 4
+#: Nodes of one component whose sets of shingles meet in one cell.
+SET_CELL = 1_000
 
 
 def segments(texts: list[bytes]) -> list[np.ndarray]:
@@ -357,143 +359,164 @@ def wide_limit(similarity: float) -> int:
     return round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
+def _set_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each text's set of shingles; 0 for a text without any."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    if len(hashes):
+        of = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((hashes, of))
+        hashes, of = hashes[order], of[order]
+        once = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))
+        hashes, of = hashes[once], of[once]
+        at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        out[of[at]] = mix64(np.add.reduceat(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), at))
+    return out
+
+
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, fp, wide, segments): as fingerprints(), with a fingerprint of 64 * WIDE bits and the segments."""
+    """(doc_id, fp, node, keys, rest): as fingerprints(), with a hash of the set of shingles, the keys that candidates
+    meet by, and the text of rows without an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, fps, wides, parts = utf8(batch.column(1)), [np.zeros(0, np.uint64)], [np.zeros((0, WIDE), np.uint64)], []
+            texts, fps, nodes, keys = utf8(batch.column(1)), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
             for low, high in text_blocks(texts):
                 hashes, counts = _shingle_hashes(texts[low:high], width)
                 fps.append(_majority(hashes, counts))
-                wides.append(np.stack([_majority(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)), counts) for k in range(WIDE)], axis=1))
-                parts += segments(texts[low:high])
-            wide = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(wides).view(np.int64).ravel()), WIDE).cast(pa.list_(pa.int64()))
-            listed = pa.array([x.view(np.int64) for x in parts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64)), wide, listed], ["doc_id", "fp", "wide", "segments"])
+                nodes.append(_set_keys(hashes, counts))
+                keys += segments(texts[low:high])
+            listed = pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))
+            rest = pa.array([t if i is None else None for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (fps, nodes)), listed, rest], ["doc_id", "fp", "node", "keys", "rest"])
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long, wide array<long>, segments array<long>")
+    return chosen.mapInArrow(run, "doc_id long, fp long, node long, keys array<long>, rest string")
+
 
+def meeting_links(distinct: DataFrame) -> DataFrame:
+    """(u, v): each node (node, keys) that shares a key with others, linked to the least node that has it. Nodes that
+    share a key are so in one component, at one row each."""
 
-def wide_forest(fp: np.ndarray, wide: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, over fp, of the pairs whose wide fingerprints differ in up to limit bits."""
-    left, us, vs = np.arange(len(fp)), [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader = None, 0
+        for batch in batches:
+            key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(key):
+                continue
+            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(first >= 0, node[first], leader)
+            last, leader = key[-1], lead[-1]
+            other = lead != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(lead[other])], ["u", "v"])
+
+    each = distinct.select(F.explode("keys").alias("key"), "node")
+    return each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest, as indexes, of the pairs of sets whose Jaccard similarity is at least the asked one: breadth-first
+    search that counts the common elements of one set and all that are left."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    edge = np.append(0, np.cumsum(size))
+    values, every = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = [every[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    mark, left, out = np.zeros(len(values), dtype=bool), np.arange(len(sets)), []
     while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            step = max(1, min(len(front), (1 << 18) // len(left)))
-            near = np.bitwise_count(wide[front[:step], None, :] ^ wide[None, left, :]).sum(axis=2, dtype=np.int32) <= limit
-            hit = near.any(axis=0)
-            us.append(fp[left[hit]])
-            vs.append(fp[front[:step]][near.argmax(axis=0)[hit]])
-            front, left = np.concatenate([front[step:], left[hit]]), left[~hit]
-    none = np.zeros(0, fp.dtype)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+        front, left, flat = [left[0]], left[1:], None
+        while front and len(left):
+            if flat is None:
+                flat, starts = np.concatenate([ids[i] for i in left]), np.cumsum(size[left]) - size[left]
+            one = front.pop()
+            mark[ids[one]] = True
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[ids[one]] = False
+            hit = common >= similarity * (size[one] + size[left] - common) - 1e-9
+            if hit.any():
+                front += left[hit].tolist()
+                out += [(int(one), int(i)) for i in left[hit]]
+                left, flat = left[~hit], None
+    return out
 
 
-def segment_links(distinct: DataFrame, similarity: float, *, cell: int = CELL) -> DataFrame:
-    """(u, v) links between distinct fingerprints (fp, wide, segments) that share a segment and whose wide
-    fingerprints are within wide_limit(similarity).
+def verified_links(docs: DataFrame, distinct: DataFrame, similarity: float, *, width: int, cell: int = CELL) -> DataFrame:
+    """(u, v) links between nodes (node, least, keys, rest) whose sets of shingles, taken from docs (doc_id, text) once
+    more, have at least the Jaccard similarity: every such pair that some chain of common keys joins is linked, directly
+    or over others that are.
 
-    Segments that one fingerprint alone has go first; what is left meets by segment, in a grid of cells where a
-    segment has more than `cell` fingerprints. Each cell emits a spanning forest.
+    The sets of one component of meeting_links() come together; where it has more than `cell` nodes, in a grid of
+    cells for each two parts of it. Each cell emits a spanning forest of its verified links.
     """
-    limit = wide_limit(similarity)
-    each = distinct.select(F.explode("segments").alias("seg"), "fp")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by segment: those whose segment stands in the row before or after, with its place in the run."""
-        last, count = None, 0
-        held = None
-        for batch in batches:
-            seg, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if not len(seg):
-                continue
-            new = np.append(last is None or seg[0] != last, seg[1:] != seg[:-1])
-            at = np.arange(len(seg))
-            first = np.maximum.accumulate(np.where(new, at, -1))
-            place = np.where(first >= 0, at - first, at + count)
-            follow = np.append(~new[1:], False)
-            keep = ~new | follow
-            out = [(seg[keep], fp[keep], place[keep])]
-            if held is not None and not new[0]:
-                out.insert(0, held)
-            held = (seg[-1:], fp[-1:], place[-1:]) if new[-1] else None
-            last, count = seg[-1], int(place[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["seg", "fp", "place"])
-
-    met = cut(each.repartition("seg").sortWithinPartitions("seg", "fp").mapInArrow(shared, "seg long, fp long, place long"), "segments")
-    most = met.groupBy("seg").agg(F.max("place").alias("most")).where(F.col("most") >= cell).select(F.col("seg").alias("hot_seg"), (F.floor(F.col("most") / cell) + 1).cast("int").alias("k"))
-    joined = met.join(most, F.col("seg") == F.col("hot_seg"), "left").withColumn("own", F.floor(F.col("place") / cell).cast("int"))
-    k = F.coalesce("k", F.lit(1))
-    # cell (i, j), i <= j, holds parts i and j of a segment
-    cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least("own", j) * k + F.greatest("own", j))
-    dealt = joined.select("seg", F.explode(cells).alias("cell"), "fp")
-    wide = distinct.select(F.col("fp").alias("wide_fp"), "wide")
-    placed = dealt.join(wide, F.col("fp") == F.col("wide_fp")).select("seg", "cell", "fp", "wide").repartition("seg", "cell").sortWithinPartitions("seg", "cell", "fp")
+    placed = cut(components(meeting_links(distinct)), "meetings")
+    hot = cut(placed.groupBy("root").count().where(F.col("count") > cell).select(F.col("root").alias("hot_root"), F.ceil(F.col("count") / cell).cast("int").alias("k")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= 1_000_000 else hot
+        k, own = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))).cast("int")
+        # cell (i, j), i <= j, holds parts i and j
+        cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
+        placed = placed.join(side, F.col("root") == F.col("hot_root"), "left").select("node", "root", cells.alias("cells"))
+    else:
+        placed = placed.select("node", "root", F.array(F.lit(0)).alias("cells"))
+    asked = cut(distinct.select(F.col("node").alias("own_node"), "least", "rest").join(placed, F.col("own_node") == F.col("node")).select("node", "root", "cells", "least", "rest"), "asked")
+    by_id = docs.join(asked.drop("rest").where("least is not null"), F.col("doc_id") == F.col("least")).select("root", "cells", "node", "text")
+    others = asked.where("least is null").select("root", "cells", "node", F.col("rest").alias("text"))
+    rows = by_id.unionAll(others).select("root", F.explode("cells").alias("cell"), "node", "text").repartition("root", "cell").sortWithinPartitions("root", "cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        at, nodes, sets = None, [], []
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)]
-            if not len(now[0]):
-                continue
-            if kept is not None:
-                now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            done = int(other[-1]) + 1 if len(other) else 0
-            kept = [x[done:] for x in now]
-            yield from told([x[:done] for x in now])
-        if kept is not None:
-            yield from told(kept)
+            roots, cells, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            texts, out = utf8(batch.column(3)), []
+            for low, high in text_blocks(texts):
+                hashes, counts = _shingle_hashes(texts[low:high], width)
+                found, end = _set_keys(hashes, counts).view(np.int64), np.cumsum(counts)
+                for i in range(low, high):
+                    if at != (roots[i], cells[i]):
+                        out += told(nodes, sets)
+                        at, nodes, sets = (roots[i], cells[i]), [], []
+                    # rows that repeat an id may have the text of another node
+                    if found[i - low] == ids[i] and (not nodes or nodes[-1] != ids[i]):
+                        nodes.append(int(ids[i]))
+                        sets.append(np.unique(hashes[end[i - low] - counts[i - low] : end[i - low]]))
+            yield rows_of(out)
+        yield rows_of(told(nodes, sets))
+
+    def told(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes[a], nodes[b]) for a, b in jaccard_forest(sets, similarity)] if len(sets) > 1 else []
+
+    def rows_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["u", "v"])
 
-    def told(now) -> Iterator[pa.RecordBatch]:
-        seg, cell_, fp, bits = now
-        if not len(seg):
-            return
-        edge = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (cell_[1:] != cell_[:-1])))
-        size = np.diff(np.append(edge, len(seg)))
-        us, vs = [], []
-        two = edge[size == 2]
-        near = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= limit if len(two) else np.zeros(0, bool)
-        us.append(fp[two[near]])
-        vs.append(fp[two[near] + 1])
-        for a, n in zip(edge[size > 2], size[size > 2], strict=True):
-            u, v = wide_forest(fp[a : a + n], bits[a : a + n], limit)
-            us.append(u)
-            vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    return placed.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None, groups: int | None = None, cell: int = CELL) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
-    component_id is the least doc_id that fingerprints within distance bits reach. With a similarity, texts that
-    share a segment and whose wide fingerprints are as near as that similarity lets expect are linked as well:
-    a similarity of 0.8 moves a 64-bit fingerprint by ten bits, further than any partition can be probed.
+    component_id is the least doc_id that fingerprints within distance bits reach. With a similarity it is the least
+    doc_id that links between texts of that Jaccard similarity of their shingles reach, each link verified on the
+    shingles themselves: a similarity of 0.8 moves a 64-bit fingerprint by ten bits, further than any partition can be
+    probed, and fingerprints alone do not tell it from 0.7. Then distance and groups have no use.
     Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows and equal texts share a
     fingerprint and so a component. A null doc_id keeps its row; it does not lead a component unless no other is
     there. An empty table gives an empty result. Other columns of docs are not looked at.
     """
     if similarity is None:
-        of = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-        distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        of = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width).withColumn("node", F.col("fp")), "fingerprints")
+        distinct = cut(of.groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("fp", F.col("node")), "distinct")
+        links = near_links(distinct, distinct.count(), distance=distance, groups=groups, cell=cell)
     else:
         of = cut(sketches(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "wide", "segments"))
-        distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("least"), one.alias("_one")).select("fp", "least", "_one.wide", "_one.segments"), "distinct")
-    rows = distinct.count()
-    links = near_links(distinct, rows, distance=distance, groups=groups, cell=cell)
-    if similarity is not None:
-        links = links.unionAll(segment_links(distinct, similarity, cell=cell))
-    roots = components(links)
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys", "rest"))
+        distinct = cut(of.groupBy("node").agg(one.alias("_one")).select("node", F.col("_one.doc_id").alias("least"), "_one.keys", "_one.rest"), "distinct")
+        chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+        links = verified_links(chosen, distinct, similarity, width=width, cell=min(cell, SET_CELL))
+    roots = components(links).withColumnRenamed("node", "root_node")
+    placed = distinct.join(roots, F.col("node") == F.col("root_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     leaders = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(leaders, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    joined = of.join(classes, F.col("fp") == F.col("class_fp"))
+    classes = placed.join(leaders, "root").select(F.col("node").alias("class_node"), "component_id")
+    joined = of.join(classes, F.col("node") == F.col("class_node"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

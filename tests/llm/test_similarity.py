@@ -234,3 +234,30 @@ def test_similarity_edge_tables(spark):
     out = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(rows, width=5, similarity=0.8).collect())
     assert out == [(0, 1), (1, 1), (2, 2), (2, 2), (3, 2)]
     assert simhash.near_duplicates(frame(spark, []), width=5, similarity=0.8).count() == 0
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(t[i : i + width]) for i in range(max(1, len(t) - width + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def pairs_near(r, low, high, lengths, n):
+    """n pairs of texts (word lists) of a length of lengths whose similarity lies from low to below high."""
+    out = []
+    while len(out) < n:
+        a = [f"p{r.randrange(10**9)}" for _ in range(r.choice(lengths))]
+        b = list(a)
+        for _ in range(r.randint(1, max(1, len(a) // 25))):
+            b[r.randrange(len(b))] = f"q{r.randrange(10**9)}"
+        b += [f"q{r.randrange(10**9)}" for _ in range(r.choice([0, 0, 1, 2]))]
+        if low <= jaccard(a, b) < high:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("cell", [20_000, 1])
+def test_no_pair_below_the_similarity_is_linked(spark, cell):
+    pairs = pairs_near(random.Random(5), 0.6, 0.8, [100, 200], 60)
+    rows = [(2 * i + k, " ".join(p[k])) for i, p in enumerate(pairs) for k in range(2)]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8, cell=cell).collect()}
+    assert out == {i: i for i, _ in rows}
