@@ -328,6 +328,9 @@ def near_links(fps: DataFrame, rows: int, *, distance: int = 3, groups: int | No
 SEGMENT, LEAST_SEGMENT = 16, 5
 #: Longs of a wide fingerprint.
 WIDE = 4
+#: Bands and the minima in each: two texts of similarity s share no band with probability (1 - s**DEPTH)**BANDS, which is
+#: 6e-7 at 0.8 whatever their length.
+BANDS, DEPTH = 36, 5
 #: Nodes of one component whose sets of shingles meet in one cell.
 SET_CELL = 1_000
 
@@ -373,6 +376,25 @@ def _set_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+_MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
+
+
+def bands(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """For each text the hashes of its BANDS groups of DEPTH minima of permuted shingle hashes; none without shingles."""
+    some = np.flatnonzero(counts)
+    out = np.zeros((len(some), BANDS), dtype=np.uint64)
+    if len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        for b in range(BANDS):
+            held = np.full(len(some), b + 1, dtype=np.uint64)
+            for k in range(b * DEPTH, (b + 1) * DEPTH):
+                held = mix64(held * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((hashes ^ _MASKS[k]) * _FACTORS[k], starts))
+            out[:, b] = held
+    rows = iter(out)
+    return [next(rows) if n else np.zeros(0, np.uint64) for n in counts]
+
+
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, fp, node, keys, rest): as fingerprints(), with a hash of the set of shingles, the keys that candidates
     meet by, and the text of rows without an id."""
@@ -384,7 +406,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 hashes, counts = _shingle_hashes(texts[low:high], width)
                 fps.append(_majority(hashes, counts))
                 nodes.append(_set_keys(hashes, counts))
-                keys += segments(texts[low:high])
+                keys += bands(hashes, counts)
             listed = pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))
             rest = pa.array([t if i is None else None for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (fps, nodes)), listed, rest], ["doc_id", "fp", "node", "keys", "rest"])

@@ -247,7 +247,7 @@ def pairs_near(r, low, high, lengths, n):
     while len(out) < n:
         a = [f"p{r.randrange(10**9)}" for _ in range(r.choice(lengths))]
         b = list(a)
-        for _ in range(r.randint(1, max(1, len(a) // 25))):
+        for _ in range(r.randint(0, max(1, len(a) // 25))):
             b[r.randrange(len(b))] = f"q{r.randrange(10**9)}"
         b += [f"q{r.randrange(10**9)}" for _ in range(r.choice([0, 0, 1, 2]))]
         if low <= jaccard(a, b) < high:
@@ -261,3 +261,13 @@ def test_no_pair_below_the_similarity_is_linked(spark, cell):
     rows = [(2 * i + k, " ".join(p[k])) for i, p in enumerate(pairs) for k in range(2)]
     out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8, cell=cell).collect()}
     assert out == {i: i for i, _ in rows}
+
+
+def test_near_pairs_are_linked_at_every_length(spark):
+    r = random.Random(6)
+    lengths = [[12], [20], [30], [50], [400]]
+    pairs = [p for n in lengths for p in pairs_near(r, 0.8, 0.9, n, 40)]
+    rows = [(2 * i + k, " ".join(p[k])) for i, p in enumerate(pairs) for k in range(2)]
+    out = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8).collect()}
+    linked = [out[2 * i] == out[2 * i + 1] for i in range(len(pairs))]
+    assert [sum(linked[40 * i : 40 * i + 40]) for i in range(len(lengths))] == [40] * len(lengths)
