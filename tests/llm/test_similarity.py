@@ -271,3 +271,10 @@ def test_near_pairs_are_linked_at_every_length(spark):
     out = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8).collect()}
     linked = [out[2 * i] == out[2 * i + 1] for i in range(len(pairs))]
     assert [sum(linked[40 * i : 40 * i + 40]) for i in range(len(lengths))] == [40] * len(lengths)
+
+
+def test_a_far_passage_does_not_hide_a_near_predecessor():
+    first, second = np.arange(0, 200, 4), np.arange(300, 380, 4)
+    y, x = np.append(np.concatenate([first, second]), 390), np.append(np.concatenate([first, second]), 7)  # the last is a stray match
+    chains = substring.best_chains(y, x)
+    assert sorted(map(len, chains)) == [1, 20, 50]
