@@ -278,3 +278,18 @@ def test_a_far_passage_does_not_hide_a_near_predecessor():
     y, x = np.append(np.concatenate([first, second]), 390), np.append(np.concatenate([first, second]), 7)  # the last is a stray match
     chains = substring.best_chains(y, x)
     assert sorted(map(len, chains)) == [1, 20, 50]
+
+
+def test_edits_are_the_edit_distance():
+    a = np.arange(20)
+    b = np.append(np.delete(a, 3)[:12], [99, *np.delete(a, 3)[12:]])
+    assert len(a) == len(b) and substring.edits(a, b) == 2
+    r = random.Random(4)
+    for _ in range(300):
+        x, y = ([r.randrange(3) for _ in range(r.randint(0, 9))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, w in enumerate(x, 1):
+            row, old = [i], row
+            for j, v in enumerate(y, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (v != w)))
+        assert substring.edits(np.array(x), np.array(y)) == row[-1]
