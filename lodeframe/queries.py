@@ -244,6 +244,12 @@ groupBy: [{field: o_orderstatus}]
 columns: [{field: o_orderstatus}, {aggregate: {function: first, args: [{field: o_orderkey}]}, as: first_key}, {aggregate: {function: last, args: [{field: o_orderkey}]}, as: last_key}]
 """, "SELECT o_orderstatus, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000) GROUP BY o_orderstatus")
 
+document("agg_first_last_whole", """
+from: {name: orders}
+groupBy: [{field: o_orderstatus}]
+columns: [{field: o_orderstatus}, {aggregate: {function: first, args: [{field: o_custkey}]}, as: first_customer}, {aggregate: {function: last, args: [{field: o_custkey}]}, as: last_customer}, {aggregate: {function: last, args: [{field: o_orderkey}]}, as: last_key}]
+""", "SELECT o_orderstatus, first(o_custkey ORDER BY o_orderkey) AS first_customer, last(o_custkey ORDER BY o_orderkey) AS last_customer, last(o_orderkey ORDER BY o_orderkey) AS last_key FROM orders GROUP BY o_orderstatus")
+
 document("agg_arith", """
 from: {name: lineitem}
 groupBy: [{field: l_returnflag}]
@@ -297,6 +303,11 @@ columns: [{field: doc_id, source: d}, {field: quality}, {field: toxic}]
 limit: 450
 """, "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS LAST, toxic ASC NULLS FIRST, d.doc_id LIMIT 450")
 
+document("order_nulls_whole", _LABELLED + """
+orderBy: [{field: quality, desc: true}, {field: toxic}, {field: doc_id, source: d}]
+columns: [{field: doc_id, source: d}, {field: quality}, {field: toxic}]
+""", "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS LAST, toxic ASC NULLS FIRST, d.doc_id")
+
 document("order_offset_limit", """
 from: {name: events}
 orderBy: [{field: event_id, desc: true}]
