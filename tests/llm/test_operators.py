@@ -99,9 +99,13 @@ def test_long_chains_and_plain_conversations(spark):
     assert sorted((r["call_id"] or "", r["status"], r["valid"]) for r in out) == [("", "no_result", False), ("1:0", "linked", True), ("1:2", "no_result", False), ("2:0", "no_result", True), ("2:1", "no_result", False)]
 
 
-def test_stupid_backoff(spark):
+@pytest.mark.parametrize(("hot", "block_words"), [(1000, 800_000), (4, 40), (1, 800_000)])
+def test_stupid_backoff(spark, hot, block_words):
     rows = [(i, t) for i, t, *_ in docs(spark)[0]] + [(None, "a b a b"), (2000, "a b a b"), (2001, "zz"), (2001, "zz")]
-    out = lm_scoring.stupid_backoff(spark.createDataFrame(rows, "doc_id long, text string"), bucket_words=200).collect()
+    r = random.Random(11)
+    rows += [(3000 + i, " ".join(f"rare{r.randrange(60)}" for _ in range(r.randint(1, 40)))) for i in range(40)] + [(3500, "long " * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"to": F.lit("x"), "block": F.lit(1)})
+    out = lm_scoring.stupid_backoff(frame, bucket_words=200, block_words=block_words, hot=hot).collect()
     words = [(i, WORD.findall(t or "")) for i, t in rows]
     one, two, before = Counter(), Counter(), Counter()
     for _, w in words:
@@ -115,7 +119,7 @@ def test_stupid_backoff(spark):
         expected.append((-1 if i is None else i, len(w), score))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["log_score"]) for r in out)
     assert [g[:2] for g in got] == [e[:2] for e in sorted(expected)]
-    assert [g[2] for g in got] == pytest.approx([e[2] for e in sorted(expected)], rel=1e-5, abs=1e-4)
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in sorted(expected)], rel=1e-9, abs=1e-9)
     assert all((r["mean_log_score"] is None) == (r["n_words"] == 0) for r in out)
     assert lm_scoring.stupid_backoff(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
