@@ -310,17 +310,19 @@ def _score(hot: Hot, words_to: int):
                 value[now] = hot.back_off(hot.n[at[now]])
             sums.add(row[entry], doc, value * own, blocks)
             out = sums.messages(MOST_SUMS)
-            # backing off, words that are not hot: by word partition and block
+            # backing off, words that are not hot: one message for each word partition, of all blocks together
             left = ~seen & ~plain
             e, d, k = entry[left], doc[left], own[left]
             word, r = w[e], row[e]
             to = _spread(word * _SPREAD, words_to)
-            order = np.lexsort((d, word, r, to))
+            order = np.lexsort((d, r, word, to))
             to, r, word, d, k = to[order], r[order], word[order], d[order], k[order]
-            edges = np.append(_group(to, r), len(to)) if len(to) else np.zeros(1, int)
+            edges = np.append(_group(to), len(to)) if len(to) else np.zeros(1, int)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 starts = _group(word[a:b])
-                out.append((1, -1 - int(to[a]), blocks[r[a]], _pack(word[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32), d[a:b], k[a:b].astype(np.uint32))))
+                known, at = np.unique(r[a:b], return_inverse=True)
+                runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
+                out.append((1, -1 - int(to[a]), 0, _pack(word[a:b][starts], runs, d[a:b], k[a:b].astype(np.uint32), at.astype(np.uint32), np.array([blocks[i] for i in known], np.int64))))
             yield _messages(out)
         yield _messages(sums.messages())
 
@@ -339,11 +341,16 @@ def _back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.concatenate([c[1] for c in counted]) if counted else np.zeros(0, np.int64)
         order = np.argsort(word)
         word, count = word[order], count[order]
-        for k, block, data in rows:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0))]
+        for k, _, data in rows:
             if k == 1:
-                asked, runs, doc, own = _unpack(data, "<u8", "<u4", "<u2", "<u4")
+                asked, runs, doc, own, at, blocks = _unpack(data, "<u8", "<u4", "<u2", "<u4", "<u4", "<i8")
                 logs = np.log(count[np.searchsorted(word, asked)])
-                sums.add(np.zeros(len(doc), np.int64), doc, np.repeat(logs, runs) * own, [block])
+                parts.append((blocks[at], doc, np.repeat(logs, runs) * own))
+        block, doc, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(block, kind="stable")
+        every, row = np.unique(block[order], return_inverse=True)
+        sums.add(row, doc[order], value[order], every.tolist())
         yield _messages(sums.messages(MOST_SUMS))
     yield _messages(sums.messages())
 
@@ -374,12 +381,12 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counts = cut(word_counts(base, block_words), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = hot_counts(base, counts, total, hot, block_words)
-    buckets = max(1, -(-total // bucket_words))
+    buckets, words_to = max(1, -(-total // bucket_words)), max(1, -(-total // (4 * bucket_words)))
 
     def shards(batches):
         for batch in batches:
             word, n = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
-            to = _spread(word * _SPREAD, buckets)
+            to = _spread(word * _SPREAD, words_to)
             order = np.argsort(to, kind="stable")
             to, word, n = to[order], word[order], n[order]
             edges = np.append(_group(to), len(to)) if len(to) else np.zeros(1, int)
@@ -389,7 +396,7 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return df.repartition("to").sortWithinPartitions("to", "kind")
 
     asked = base.mapInArrow(_explode(heavy, buckets, block_words), _MESSAGE)
-    scored = dealt(asked.withColumn("to", F.when(F.col("kind") == 0, -1 - F.col("to")).otherwise(F.col("to")))).mapInArrow(_score(heavy, buckets), _MESSAGE)
+    scored = dealt(asked.withColumn("to", F.when(F.col("kind") == 0, -1 - F.col("to")).otherwise(F.col("to")))).mapInArrow(_score(heavy, words_to), _MESSAGE)
     tables = counts.where("n > 0").select("word", "n").mapInArrow(shards, _MESSAGE)
     summed = dealt(scored.unionAll(tables)).mapInArrow(_back_off, _MESSAGE)
     return dealt(summed).mapInArrow(_by_document, "doc_id long, n_words long, log_score double, mean_log_score double")
