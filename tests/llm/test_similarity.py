@@ -293,3 +293,57 @@ def test_edits_are_the_edit_distance():
             for j, v in enumerate(y, 1):
                 row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (v != w)))
         assert substring.edits(np.array(x), np.array(y)) == row[-1]
+
+
+def own_words(r, n, mark):
+    return [f"{mark}{r.randrange(10**9)}" for _ in range(n)]
+
+
+def test_torn_passages_are_found_however_the_rows_are_dealt(spark):
+    r = random.Random(12)
+    passage = own_words(r, 60, "p")
+    lines = [own_words(r, 15, "l") for _ in range(6)]
+    rows = [
+        (0, own_words(r, 30, "a") + passage), (1, passage[:30] + own_words(r, 40, "b")), (2, own_words(r, 40, "c") + passage[30:]),
+        (3, own_words(r, 20, "d") + passage + own_words(r, 20, "d")), (4, own_words(r, 40, "e") + passage[15:45]),
+        *((10 + i, own_words(r, 45, "f") + line) for i, line in enumerate(lines)),  # each line is met on its own first
+        (20, own_words(r, 10, "g") + sum(lines, []) + own_words(r, 10, "g")), (21, own_words(r, 33, "h") + sum(lines, [])),
+    ]
+    df = frame(spark, [(i, " ".join(w)) for i, w in rows])
+    seen = []
+    for n, batch in ((1, 10_000), (4, 20), (16, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        seen.append(sorted(map(tuple, substring.repeated_passages(df.repartition(n)).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] == seen[2]
+    assert {(d, o, e - s) for d, s, e, o, *_ in seen[0]} == {(3, 0, 60), (21, 20, 90)}
+
+
+def test_hot_seeds_change_nothing(spark, monkeypatch):
+    r = random.Random(13)
+    common = own_words(r, 70, "c")
+    rows = [(i, " ".join(own_words(r, 20, "o") + common[: r.choice([12, 30, 55, 70])] + own_words(r, 40, "o"))) for i in range(60)]
+    plain = sorted(map(tuple, substring.repeated_passages(frame(spark, rows)).collect()))
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    monkeypatch.setattr(substring, "HOT_LEAST", 5)
+    assert sorted(map(tuple, substring.repeated_passages(frame(spark, rows)).collect())) == plain and plain
+
+
+def test_edited_passages_are_found(spark):
+    """Passages of 60 words with scattered edits: the shares found are what the README states."""
+    r = random.Random(14)
+    shares = []
+    for edits in (0, 3, 5, 8):
+        rows = []
+        for i in range(60):
+            p = own_words(r, 60, "p")
+            q = list(p)
+            for _ in range(edits):
+                at = r.randrange(len(q))
+                kind = r.randrange(3)
+                q[at : at + (kind != 1)] = [] if kind == 2 else own_words(r, 1, "n")
+            rows += [(2 * i, " ".join(own_words(r, 30, "a") + p)), (2 * i + 1, " ".join(q + own_words(r, 30, "b")))]
+        found = {x["doc_id"] for x in substring.repeated_passages(frame(spark, rows)).collect()}
+        shares.append(len(found) / 60)
+    print("found", shares)
+    assert shares[0] == 1 and shares[1] >= 0.9 and shares[2] >= 0.7 and shares[3] >= 0.4
