@@ -1,9 +1,10 @@
 """Lossless WebP (VP8L): a full decoder, and an encoder, in numpy and Python.
 
 The decoder reads prefix codes (simple and normal, with meta prefix groups), literals, back-references and colour
-cache codes, and inverts the predictor, cross-colour, subtract-green and colour-indexing transforms. Where every
-pixel takes the same number of bits (one group of codes, each of one length, no cache) it unpacks all pixels at
-once; otherwise it goes code by code. Both give the same pixels.
+cache codes, and inverts the predictor, cross-colour, subtract-green and colour-indexing transforms. Where only the
+green code takes bits (one group of codes, no cache, as in grey images) it looks up what a code at each bit of a
+stretch would mean, then walks from code to code and copies the back-references; otherwise it goes code by code. Both
+give the same pixels.
 
 Pixels are uint8 arrays [height, width, 4] in the order alpha, red, green, blue. Broken input raises ValueError.
 """
@@ -65,6 +66,15 @@ class _Code:
             raise ValueError("a prefix code is not complete")
         self._table: list[tuple[int, int]] | None = None
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and length by the next `bits` bits."""
+        symbols, lengths = np.full(1 << self.bits, self.used[0], np.int16), np.zeros(1 << self.bits, np.int32)
+        if self.bits:
+            for symbol, length, code in canonical(self.lengths):
+                turned = int(f"{code:0{length}b}"[::-1], 2)
+                symbols[turned :: 1 << length], lengths[turned :: 1 << length] = symbol, length
+        return symbols, lengths
+
     def table(self) -> list[tuple[int, int]]:
         if self._table is None:
             out: list[tuple[int, int]] = [(int(self.used[0]), 0)] * (1 << self.bits)
@@ -148,9 +158,90 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     flats = [c.flat for c in codes[0][:4]]
     if groups == 1 and not cache_bits and None not in flats and codes[0][0].used[-1] < 256:
         return _flat_pixels(bits, codes[0], flats, width * height)
+    if groups == 1 and not cache_bits and codes[0][0].bits and not any(c.bits for c in codes[0][1:4]):
+        return _grey_pixels(bits, codes[0], width, width * height)
     return _coded_pixels(bits, codes, group_of, tile, cache_bits, width, height)
 
 
+#: Bytes of the stream whose bits are looked up at once.
+STRETCH = 1 << 16
+
+
+def _values(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes of prefix symbols, and their numbers of extra bits, the extra bits being the next of
+    window."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1).astype(np.int32)
+    more = (window & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))).astype(np.int32)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1).astype(np.int32), extra
+
+
+def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.ndarray:
+    """Pixels of an image whose red, blue and alpha take no bits."""
+    symbols, sizes = codes[0].arrays()
+    far, far_sizes = codes[4].arrays()
+    data = np.frombuffer(bits.data, np.uint8)
+    near = np.array([max(1, dx + dy * width) for dx, dy in near_offsets()], np.int64)
+    found: list[tuple[np.ndarray, ...]] = []
+    at, have = bits.at, 0
+    while have < total:
+        if at >= bits.end:
+            raise ValueError("the stream ends early")
+        first = at >> 3
+        raw = data[first : first + STRETCH + 16].astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        n = len(window)
+        to = min(n, 8 * STRETCH)
+        head = window[:to] & np.uint32((1 << codes[0].bits) - 1)
+        symbol, following = symbols[head], np.arange(to, dtype=np.int32) + sizes[head]
+        ref = np.flatnonzero(symbol >= 256)
+        q = np.minimum(following[ref], n - 1)
+        length, extra = _values(symbol[ref].astype(np.int32) - 256, window[q])
+        q = np.minimum(q + extra, n - 1)
+        head = window[q] & np.uint32((1 << codes[4].bits) - 1)
+        q = np.minimum(q + far_sizes[head], n - 1)
+        distance, extra = _values(far[head].astype(np.int32), window[q])
+        following[ref] = q + extra
+        here, steps, p = [], following.tolist(), at & 7
+        while p < to:
+            here.append(p)
+            p = steps[p]
+        token = np.array(here)
+        is_ref = symbol[token] >= 256
+        of = np.searchsorted(ref, token[is_ref])
+        run = np.ones(len(token), np.int64)
+        run[is_ref] = length[of]
+        code = np.zeros(len(token), np.int64)
+        code[is_ref] = distance[of]
+        ends = have + np.cumsum(run)
+        used = int(np.searchsorted(ends, total)) + 1
+        found.append((symbol[token[:used]], run[:used], code[:used]))
+        have = int(ends[min(used, len(ends)) - 1])
+        at = 8 * first + (following[token[used - 1]] if used <= len(token) else p)
+    if at > bits.end:
+        raise ValueError("the stream ends early")
+    bits.at = int(at)
+    symbol, run, code = (np.concatenate(x) for x in zip(*found, strict=True))
+    if have != total:
+        raise ValueError("a back-reference leaves the image")
+    start = np.cumsum(run) - run
+    is_ref = symbol >= 256
+    pixels = np.zeros(total, np.uint8)
+    pixels[start[~is_ref]] = symbol[~is_ref]
+    code = code[is_ref]
+    distance = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+    if (distance > start[is_ref]).any():
+        raise ValueError("a back-reference leaves the image")
+    out = bytearray(pixels.tobytes())
+    for a, n, d in zip(start[is_ref].tolist(), run[is_ref].tolist(), distance.tolist(), strict=True):
+        if d >= n:
+            out[a : a + n] = out[a - d : a - d + n]
+        else:
+            out[a : a + n] = (out[a - d : a] * (n // d + 1))[:n]
+    red, blue, alpha = (int(c.used[0]) for c in codes[1:4])
+    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+
+
 def _flat_pixels(bits: _Bits, codes: list[_Code], flats: list[int], n: int) -> np.ndarray:
     each = sum(flats)
     if bits.at + each * n > bits.end:
@@ -264,6 +355,11 @@ def _predictions(image: np.ndarray, modes: np.ndarray, size_bits: int, residual:
             p[0] = above[0]
             image[y] = (residual[y] + p) & 255
             continue
+        if decode and (y == 0 or (row_modes[: ((width - 1) >> size_bits) + 1] == 1).all()):  # each pixel after its left one
+            first = residual[y].astype(np.int64)
+            first[0] += image[y - 1, 0] if y else black
+            image[y] = np.cumsum(first, axis=0) & 255
+            continue
         for x in range(width):
             if y == 0:
                 p = black if x == 0 else image[y, x - 1]
@@ -597,12 +693,106 @@ def _bundled(index: np.ndarray, colours: int) -> np.ndarray:
     return out
 
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, numbers of extra bits and extra bits of lengths or distance codes."""
+    less = np.maximum(values - 1, 0)
+    top = np.frexp(np.maximum(less, 1).astype(np.float64))[1].astype(np.int64) - 1
+    second = (less >> np.maximum(top - 1, 0)) & 1
+    extra = np.where(values <= 4, 0, top - 1)
+    return np.where(values <= 4, less, 2 * top + second), extra, np.where(values <= 4, 0, less - ((2 + second) << np.maximum(top - 1, 0)))
+
+
+def _entropy(values: np.ndarray) -> float:
+    """Bits of a value."""
+    n = np.bincount(values.ravel(), minlength=256)
+    share = n[n > 0] / values.size
+    return float(-(share * np.log2(share)).sum())
+
+
+def back_references(flat: np.ndarray, literal_bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of references that do not overlap, in order: at each place the last one before it with
+    the same four samples is looked at, and taken if it saves bits."""
+    none = np.zeros(0, np.int64)
+    n = len(flat) - 3
+    if n < 2:
+        return none, none, none
+    x = flat.astype(np.uint32)
+    key = x[:-3] | x[1:-2] << 8 | x[2:-1] << 16 | x[3:] << 24
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    back = np.zeros(n, np.int64)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edge = np.append(True, back[1:] != back[:-1])
+    ends = np.append(np.flatnonzero(edge)[1:], n)
+    length = np.minimum(ends[np.cumsum(edge) - 1] - np.arange(n) + 3, 4096)
+    good = np.flatnonzero((back > 0) & (back < (1 << 20) - 120))
+    good = good[length[good] * literal_bits > 12 + np.log2(back[good])]
+    after, chosen, k = np.searchsorted(good, good + length[good]).tolist(), [], 0
+    while k < len(good):
+        chosen.append(k)
+        k = after[k]
+    start = good[chosen]
+    return start, length[start], back[start]
+
+
+def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
+    """The main image, of pixels whose green alone differs: Huffman codes and back-references, one group of codes."""
+    start, length, distance = back_references(green, max(_entropy(green), 0.5))
+    symbol = green.astype(np.int16)
+    inside = np.zeros(len(green) + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    covered = np.cumsum(inside[:-1]) > 0
+    near = np.zeros(8 * width + 9, np.int64)
+    for i, (dx, dy) in reversed(list(enumerate(near_offsets()))):
+        near[max(1, dx + dy * width)] = i + 1
+    code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
+    code = np.where(code > 0, code, distance + 120)
+    run, run_n, run_extra = _prefixes(length)
+    far, far_n, far_extra = _prefixes(code)
+    symbol[start] = 256 + run
+    covered[start] = False
+    token = np.flatnonzero(~covered)
+    symbol = symbol[token]
+    ref = np.searchsorted(token, start)
+    lengths = [code_lengths(np.bincount(symbol, minlength=280), 12), code_lengths(np.bincount(far, minlength=40), 12)]
+    w.put(0, 2)  # no colour cache, which would only rename greens; one group of codes
+    _write_code(w, lengths[0])
+    for value in (0, 0, alpha):  # red, blue, alpha
+        one = np.zeros(256, dtype=np.int64)
+        one[value] = 1
+        _write_code(w, one)
+    _write_code(w, lengths[1])
+    codes = []
+    for n in lengths:
+        value, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        if np.count_nonzero(n) > 1:
+            for s, k, c in canonical(n):
+                value[s], size[s] = int(f"{c:0{k}b}"[::-1], 2), k
+        codes.append((value, size))
+    for low in range(0, len(token), 1 << 18):  # a bounded stretch of bits at a time
+        high = min(low + (1 << 18), len(token))
+        a, b = np.searchsorted(ref, (low, high))
+        value, size = np.zeros((high - low, 4), np.int64), np.zeros((high - low, 4), np.int64)
+        value[:, 0], size[:, 0] = codes[0][0][symbol[low:high]], codes[0][1][symbol[low:high]]
+        at = ref[a:b] - low
+        value[at, 1], size[at, 1] = run_extra[a:b], run_n[a:b]
+        value[at, 2], size[at, 2] = codes[1][0][far[a:b]], codes[1][1][far[a:b]]
+        value[at, 3], size[at, 3] = far_extra[a:b], far_n[a:b]
+        value, size = value.ravel(), size.ravel()
+        held = size > 0
+        value, size = value[held], size[held]
+        total = np.cumsum(size)
+        place = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - size, size)
+        w.bits((np.repeat(value, size) >> place & 1).astype(np.uint8))
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A WebP file of grey samples [height, width] uint8, each sample a code of one width.
+    """A WebP file of grey samples [height, width] uint8: Huffman codes and back-references.
 
     Up to 16 different samples are put in a palette and bundled; otherwise red and blue are taken off by the
-    subtract-green transform. Codes are as wide as the number of different samples needs, so that a reader can
-    unpack all pixels at once.
+    subtract-green transform, and the left or the upper sample is predicted if its differences take fewer bits. The
+    cross-colour transform has nothing to do where red and blue are 0, and a colour cache would only rename greens.
     """
     height, width = samples.shape
     w = _Writer()
@@ -616,26 +806,26 @@ def encode_grey(samples: np.ndarray) -> bytes:
         _write_image(w, _packed(np.diff(grey, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(table), False)
         place = np.zeros(256, dtype=np.int64)
         place[table] = np.arange(len(table))
-        green = _bundled(place[samples], len(table))[..., 2].ravel()
+        green = _bundled(place[samples], len(table))[..., 2]
     else:
         w.put(SUBTRACT_GREEN, 2)
-        green = samples.ravel()
+        left, above = np.diff(samples, axis=1, prepend=samples[:, :1]), np.diff(samples, axis=0, prepend=samples[:1])
+        # the first row is always told from the left, the first column from above
+        left[1:, 0], left[0, 0] = np.diff(samples[:, 0]), samples[0, 0]
+        above[0] = left[0]
+        bits = [_entropy(x) for x in (samples, left, above)]
+        mode = int(np.argmin(bits))
+        if mode and (bits[0] - bits[mode]) * samples.size > 256:
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(7, 3)  # tiles of 512 samples
+            tiles = -(-width // 512) * -(-height // 512)
+            _write_image(w, _packed(np.tile(np.array((255, 0, mode, 0), np.uint8), (tiles, 1))), -(-width // 512), False)
+            samples = (left, above)[mode - 1]
+            alpha = True
+        else:
+            alpha = False
+        green = samples
     w.put(0, 1)  # no more transforms
-    w.put(0, 2)  # no colour cache, one group of codes
-    used = np.flatnonzero(np.bincount(green, minlength=256))
-    bits = int(len(used) - 1).bit_length()
-    lengths = np.zeros(280, dtype=np.int64)
-    lengths[used] = max(bits, 1)
-    lengths[np.flatnonzero(lengths[:256] == 0)[: (1 << bits) - len(used)]] = bits
-    used = np.flatnonzero(lengths)
-    _write_code(w, lengths)
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
-        one = np.zeros(256, dtype=np.int64)
-        one[symbol] = 1
-        _write_code(w, one[:40] if symbol == 0 else one)
-    if bits:
-        code = np.zeros(256, dtype=np.uint8)
-        code[used] = np.arange(len(used))
-        spread = np.unpackbits(code[green][:, None], axis=1)[:, 8 - bits :]
-        w.bits(spread.ravel())
+    _write_grey(w, np.ascontiguousarray(green).ravel(), green.shape[1], 0 if len(table) > 16 and alpha else 255)
     return _container(w.data())

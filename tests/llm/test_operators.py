@@ -302,3 +302,71 @@ def test_classifier(spark):
     assert kept.columns == [*df.columns, "bits"] and sorted(x["doc_id"] for x in kept.collect()) == sorted(x["doc_id"] for x in quality.classify(df, labels).where("keep").collect())
     assert quality.classify(df.limit(0), labels).count() == 0
     assert quality.classify(df.where("doc_id < 5"), labels.limit(0)).where("keep").count() == 5
+
+
+def test_grey_images_take_every_coding():
+    """Texts, runs, ramps and noise through Huffman codes, back-references, predictors and palettes, both decoders alike."""
+    r = np.random.default_rng(5)
+    words = " ".join("word%d" % (i * i % 37) for i in range(3000)).encode()
+    ramp = (np.arange(64)[None, :] + 3 * np.arange(40)[:, None]).astype(np.uint8)
+    noise = r.integers(0, 256, (50, 64), dtype=np.uint8)
+    smooth = (np.cumsum(r.integers(-2, 3, (40, 64)), axis=1) + 128).astype(np.uint8)
+    down = (np.cumsum(r.integers(-2, 3, (40, 64)), axis=0) + r.integers(0, 256, 64)).astype(np.uint8)
+    runs = np.repeat(r.integers(0, 256, 40, dtype=np.uint8), 64).reshape(40, 64)
+    text = np.frombuffer(words[: len(words) // 64 * 64], np.uint8).reshape(-1, 64)
+    for samples in (text, ramp, noise, smooth, down, runs, np.zeros((1, 64), np.uint8), np.full((300, 64), 7, np.uint8), (noise & 1) + 65, np.vstack([text, noise, text])):
+        data = webp.encode_grey(samples)
+        image = webp.decode(data)
+        assert np.array_equal(image[..., 2], samples) and np.array_equal(image[..., 1], samples)
+    assert len(webp.encode_grey(text)) < 0.2 * text.size and len(webp.encode_grey(ramp)) < 400
+    assert {len(webp.encode_grey(x)) < x.size for x in (smooth, down, runs)} == {True}
+
+
+def test_stretches_give_the_same_pixels(monkeypatch):
+    text = np.frombuffer((" ".join(str(i * 7919 % 10007) for i in range(4000))).encode()[: 64 * 250], np.uint8).reshape(-1, 64)
+    data = webp.encode_grey(text)
+    for stretch in (16, 57, 1000):
+        monkeypatch.setattr(webp, "STRETCH", stretch)
+        assert np.array_equal(webp.decode(data)[..., 2], text)
+    slow = monkeypatch.setattr(webp, "_grey_pixels", lambda bits, codes, width, total: webp._coded_pixels(bits, [codes], None, 0, 0, width, total // width))
+    assert slow is None and np.array_equal(webp.decode(data)[..., 2], text)
+
+
+def test_a_stream_written_by_hand():
+    """A file put together from the format's description, bit by bit, not by the encoder: normal codes, a cache, a
+    reference to the pixel above, and the subtract-green transform."""
+    bits = []
+    put = lambda value, n: bits.extend(value >> i & 1 for i in range(n))
+    for value, n in ((0x2F, 8), (3, 14), (1, 14), (1, 1), (0, 3), (1, 1), (2, 2), (0, 1)):  # 4 x 2 pixels, subtract-green
+        put(value, n)
+    put(1, 1), put(1, 4), put(0, 1)  # a cache of two colours, one group
+    # green: symbols 10 and 257 (length 2), 280 and 281 (cache): lengths 1, 2, 3, 3 by a normal code
+    put(0, 1), put(15 - 4 + 0, 4)
+    order = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    lengths = {18: 1, 1: 2, 2: 3, 3: 3}
+    for s in order[:15]:
+        put(lengths.get(s, 0), 3)
+    put(0, 1)
+    code = {18: "0", 1: "10", 2: "110", 3: "111"}
+    say = lambda s: bits.extend(int(c) for c in code[s])
+
+    def zeros(n):
+        while n:
+            k = min(n, 138)
+            assert k >= 11
+            say(18), put(k - 11, 7)
+            n -= k
+
+    # 282 lengths: 10 zeros would need code 17, so symbol 11 is used: 11 zeros, 1 for symbol 11, 245 zeros, ...
+    zeros(11), say(1), zeros(245), say(2), zeros(22), say(3), say(3)
+    for value in (5, 6, 255):  # red, blue, alpha: simple codes of one symbol
+        put(1, 1), put(0, 1), put(1, 1), put(value, 8)
+    put(1, 1), put(0, 1), put(0, 1), put(0, 1)  # distances: symbol 0 alone, the pixel above
+    pixel = "0"  # green 11
+    slot = (0x1E35A7BD * (255 << 24 | 5 << 16 | 11 << 8 | 6) & 0xFFFFFFFF) >> 31
+    for c in pixel + ("110", "111")[slot] * 2 + pixel:
+        bits.append(int(c))
+    bits += [1, 0] + [1, 0]  # twice two pixels from above
+    data = np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+    image = webp.decode_stream(data)
+    assert image.shape == (2, 4, 4) and (image == np.array([255, 16, 11, 17], np.uint8)).all()
