@@ -11,7 +11,6 @@ Pixels are uint8 arrays [height, width, 4] in the order alpha, red, green, blue.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import lru_cache
 
@@ -191,16 +190,17 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
         window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
         n = len(window)
-        to = min(n, 8 * STRETCH)
+        to = min(n, 8 * STRETCH, bits.end - 8 * first)
         head = window[:to] & np.uint32((1 << codes[0].bits) - 1)
         symbol, following = symbols[head], np.arange(to, dtype=np.int32) + sizes[head]
         ref = np.flatnonzero(symbol >= 256)
-        q = np.minimum(following[ref], n - 1)
-        length, extra = _values(symbol[ref].astype(np.int32) - 256, window[q])
-        q = np.minimum(q + extra, n - 1)
-        head = window[q] & np.uint32((1 << codes[4].bits) - 1)
-        q = np.minimum(q + far_sizes[head], n - 1)
-        distance, extra = _values(far[head].astype(np.int32), window[q])
+        ahead = lambda q: window[np.minimum(q, n - 1)]  # noqa: E731  behind the stream's end anything will do
+        q = following[ref]
+        length, extra = _values(symbol[ref].astype(np.int32) - 256, ahead(q))
+        q = q + extra
+        head = ahead(q) & np.uint32((1 << codes[4].bits) - 1)
+        q = q + far_sizes[head]
+        distance, extra = _values(far[head].astype(np.int32), ahead(q))
         following[ref] = q + extra
         here, steps, p = [], following.tolist(), at & 7
         while p < to:
@@ -457,20 +457,31 @@ def decode_stream(stream: bytes) -> np.ndarray:
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Huffman code lengths of at most `most` bits; one used symbol has length 1."""
     out, used = np.zeros(len(counts), dtype=np.int64), np.flatnonzero(counts)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         out[used] = 1
         return out
     weights = counts[used].astype(np.int64)
     while True:
-        heap = [(int(w), i, (int(s),)) for i, (w, s) in enumerate(zip(weights, used, strict=True))]
-        heapq.heapify(heap)
-        out[:] = 0
-        n = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            out[list(a[2] + b[2])] += 1
-            heapq.heappush(heap, (a[0] + b[0], n, a[2] + b[2]))
-            n += 1
+        order = np.argsort(weights, kind="stable")
+        leaves = weights[order].tolist()
+        # two queues: leaves by weight, and inner nodes, which are made in order of weight
+        inner: list[int] = []
+        parent = [0] * (2 * n - 1)
+        i = j = 0
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if j >= len(inner) or (i < n and leaves[i] <= inner[j]):
+                    total, child, i = total + leaves[i], i, i + 1
+                else:
+                    total, child, j = total + inner[j], n + j, j + 1
+                parent[child] = node
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        out[used[order]] = depth[:n]
         if out.max() <= most:
             return out
         weights = (weights + 1) // 2
