@@ -17,7 +17,7 @@ from lodeframe import more_queries, queries
 HEADLINE = [
     "join_chain_4way", "join_chain_6way", "join_left_bracketed", "join_left_anti", "agg_group", "agg_count_distinct", "agg_first_last", "agg_having_expr", "scan_filter_cmp",
     "filter_ne_two_valued", "project_arith_div_zero", "order_expr_unprojected", "sub_scalar_corr_count", "sub_not_in", "sub_exists", "sub_multilevel", "sub_derived_join", "text_cte",
-    "text_scalar_block", "money_sum_avg", "cursor_start_after", "lookup_enrich",
+    "text_scalar_block", "money_sum", "cursor_start_after", "lookup_enrich",
 ]
 
 

@@ -91,14 +91,38 @@ select p_brand, COUNT(*) as N
 """, "SELECT p_brand, count(*) AS N FROM part WHERE p_size > 45 GROUP BY p_brand HAVING count(*) > 1", Context(imports={"big.txt": "parameters (\n  @Size integer required\n)\nfrom part as p\nwhere p.p_size > @Size\nselect p.p_brand, p.p_partkey\n"}))
 
 document("rec_first_row_values", """
-from: {query: {as: p, from: {name: part, as: q}, where: {op: ==, left: {field: p_size, source: q}, right: {value: 7}}, columns: [{field: p_size, source: q}, {field: p_partkey, source: q}]}}
-groupBy: [{field: p_size, source: p}]
+from: {name: orders, as: o}
+groupBy: [{field: o_orderpriority, source: o}]
 having: {op: ">", left: {aggregate: {function: count, args: [{star: true}]}}, right: {value: 1}}
-columns: [{field: p_size, source: p}, {aggregate: {function: count, args: [{field: p_partkey, source: p}], distinct: true}, as: n}]
-""", "SELECT p_size, count(DISTINCT p_partkey) AS n FROM part WHERE p_size = 7 GROUP BY p_size HAVING count(*) > 1", dialect="R")
-
-
-@register("money_sum_avg", """
+columns: [{field: o_orderpriority, source: o}, {field: o_custkey, source: o}, {field: o_orderstatus, source: o}, {aggregate: {function: count, args: [{field: o_custkey, source: o}], distinct: true}, as: n}]
+""", "SELECT o_orderpriority, first(o_custkey ORDER BY o_orderkey) AS o_custkey, first(o_orderstatus ORDER BY o_orderkey) AS o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority HAVING count(*) > 1", dialect="R")
+
+document("money_document", """
+from: {name: part}
+groupBy: [{field: p_brand}]
+columns:
+  - {field: p_brand}
+  - {aggregate: {function: sum, args: [{field: p_size}]}, as: total}
+  - {aggregate: {function: avg, args: [{field: p_size}]}, as: mean}
+  - {aggregate: {function: count, args: [{star: true}]}, as: n}
+money: {minorUnitScale: 0, divisionScale: 2, rounding: halfEven}
+""", """
+SELECT p_brand, CAST(s AS VARCHAR) AS total, regexp_replace(rtrim(printf('%d.%02d', cents // 100, cents % 100), '0'), '\\.$', '') AS mean, n
+FROM (SELECT *, (s * 100) // n + CASE WHEN 2 * ((s * 100) % n) > n OR (2 * ((s * 100) % n) = n AND ((s * 100) // n) % 2 = 1) THEN 1 ELSE 0 END AS cents
+      FROM (SELECT p_brand, sum(p_size)::BIGINT AS s, count(*) AS n FROM part GROUP BY p_brand))""")
+
+document("money_quotient", """
+from: {name: lineitem}
+columns:
+  - {field: l_orderkey}
+  - {field: l_linenumber}
+  - {binary: {op: /, left: {field: l_linenumber}, right: {value: 8}}, as: share}
+money: {minorUnitScale: 0, divisionScale: 2, rounding: halfEven}
+""", """
+SELECT l_orderkey, l_linenumber, regexp_replace(rtrim(CAST(CAST(round_even(l_linenumber / 8, 2) AS DECIMAL(18, 2)) AS VARCHAR), '0'), '\\.$', '') AS share FROM lineitem""")
+
+
+@register("money_sum", """
 SELECT c_nationkey, regexp_replace(rtrim(CAST(sum(CAST(round(c_acctbal, 2) AS DECIMAL(18,2))) AS VARCHAR), '0'), '\\.$', '') AS total, count(*) AS n
 FROM customer GROUP BY c_nationkey""")
 def money_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +150,10 @@ def cursor_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection("events").order_by("event_id").start_at(10).end_before(25).frame(_table(spark, sf_dir, "events")).select("event_id")
 
 
-@register("builder_array_contains", "SELECT vec_id FROM embeddings WHERE list_contains(embedding, embedding[1]) AND label = 3")
+@register("builder_array_contains", "SELECT vec_id FROM embeddings WHERE label IN (2, 3)")
 def builder_array_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "embeddings").withColumn("tags", F.array("label", F.col("label") + 1))
-    return collection("embeddings").where("tags", "array-contains", 3).where("label", "==", 3).frame(df).select("vec_id")
+    return collection("embeddings").where("tags", "array-contains", 3).frame(df).select("vec_id")
 
 
 @register("lookup_enrich", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")

@@ -24,15 +24,16 @@ def estimated_bytes(df: DataFrame) -> int:
 def enrich(df: DataFrame, dimension: DataFrame, on: dict[str, str], *, columns: list[str] | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with columns of the row of dimension whose key matches (on: column of df to column of dimension).
 
-    Rows without a match keep nulls; a key that the dimension has twice repeats the row. The plan's size estimate
-    decides between a broadcast and a shuffle join.
+    Rows without a match keep nulls; a key that the dimension has twice repeats the row. A column of a name that df
+    has too comes as name_2. The plan's size estimate decides between a broadcast and a shuffle join.
     """
     chosen = columns or [c for c in dimension.columns if c not in on.values()]
-    side = dimension.select(*[F.col(b).alias(f"_on_{i}") for i, b in enumerate(on.values())], *chosen)
+    keys, values = [f"_lodeframe_on_{i}" for i in range(len(on))], [f"_lodeframe_value_{i}" for i in range(len(chosen))]
+    side = dimension.select(*[dimension[b].alias(k) for b, k in zip(on.values(), keys, strict=True)], *[dimension[c].alias(v) for c, v in zip(chosen, values, strict=True)])
     size = estimated_bytes(side)
-    condition = [df[a] == F.col(f"_on_{i}") for i, a in enumerate(on)]
+    condition = [df[a] == F.col(k) for a, k in zip(on, keys, strict=True)]
     joined = df.join(F.broadcast(side) if size <= most_bytes else side, condition, "left")
-    return joined.select(*df.columns, *chosen)
+    return joined.select(*[df[c] for c in df.columns], *[F.col(v).alias(f"{c}_2" if c in df.columns else c) for c, v in zip(chosen, values, strict=True)])
 
 
 def lookup(df: DataFrame, key_of: Callable[[dict[str, Any]], Any], fetch: Callable[[Any], Any], merge: Callable[[dict[str, Any], Any], dict[str, Any]], schema: str, *, concurrency: int = 8) -> DataFrame:

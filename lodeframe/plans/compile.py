@@ -12,7 +12,9 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodeframe.errors import QueryError, UnsupportedError
 from lodeframe.operators.lookup import BROADCAST_BYTES, estimated_bytes
@@ -26,6 +28,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with the place of each row, _ord, in its file where it comes straight from files: unlike a number given on
+    the way this lets filters reach the scan, and does not change with the splits."""
+    try:
+        return df.withColumn("_ord", F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return df
+
+
 @dataclass
 class Term:
     """An expression: SQL, its class, and its Spark type's name where known."""
@@ -266,6 +277,7 @@ class Compiler:
     # -- relations ---------------------------------------------------------------------------------------
 
     def leaf(self, r: Mapping[str, Any], scope: Scope, path: str, flags: Flags) -> tuple[str, Relation]:
+        numbered = False
         if "query" in r:
             alias = r["query"].get("as") or r.get("as") or r.get("alias")
             sql, columns, _ = self.query(r["query"], scope.parent, f"{path}.query")
@@ -282,10 +294,13 @@ class Compiler:
                 df = df.orderBy(*keys).limit(scan["limit"])
             alias = r.get("alias") or r.get("as") or r["name"]
             name = f"t{len(self.frames)}"
-            self.frames[name] = df
             fields = {f.name: Term(f"{quoted(alias)}.{quoted(f.name)}", class_of(f.dataType), f.dataType.simpleString()) for f in df.schema.fields}
+            if flags.order and not scan:
+                df = placed(df)
+            numbered = "_ord" in df.columns and "_ord" not in fields
+            self.frames[name] = df
             inner = f"SELECT * FROM {{{name}}}"
-        extra = ", monotonically_increasing_id() AS _ord" * flags.order + ", true AS _here" * flags.presence
+        extra = ", monotonically_increasing_id() AS _ord" * (flags.order and not numbered) + ", true AS _here" * flags.presence
         if extra:
             inner = f"SELECT *{extra} FROM ({inner})"
         if alias in scope.relations:
@@ -331,6 +346,10 @@ class Compiler:
         sides = self.alike(a, b)
         if sides is None or "null" in (a.kind, b.kind):
             return "false"
+        if self.j and a.kind == b.kind:  # the check stands inside the key, so that the join still is one by equality
+            message = "join_key_type at from: NaN is no join key"
+            x, y = (f"nanvl({t.sql}, {self.raised(message, 'DOUBLE')})" if t.type in ("double", "float") else t.sql for t in (a, b))
+            return f"({x} = {y})"
         nan = [f"NOT isnan({t.sql})" for t in (a, b) if t.type in ("double", "float")]
         return "(" + " AND ".join([f"{sides[0]} = {sides[1]}", *nan]) + ")"
 
@@ -350,7 +369,9 @@ class Compiler:
         aggregates = any("aggregate" in e for e in found)
         grouping = bool(q.get("groupBy")) or aggregates or (self.j and q.get("having") is not None)
         ordered = any(e["aggregate"]["function"].lower() in ("first", "last") for e in found if "aggregate" in e) or (grouping and not self.j)
-        flags = Flags(order=ordered, presence=not q.get("columns") and not existence and bool(q["from"].get("joins")), governed=governed)
+        # rows that tie keep their order, which shows where LIMIT or OFFSET takes some of them
+        ties = bool(q.get("orderBy")) and bool(q.get("limit") or q.get("offset")) and not existence
+        flags = Flags(order=ordered or ties, presence=not q.get("columns") and not existence and bool(q["from"].get("joins")), governed=governed)
         source, aliases, _ = self.tree(q["from"], scope, "from", flags)
         scope.source = source
         scope.equal = list(self.equalities(q.get("where"), scope))
@@ -370,6 +391,7 @@ class Compiler:
         columns = self.columns(q, top, grouped, existence)
         keys = self.order_keys(q, top, grouped)
         having = [self.condition(top, q["having"], "having", grouped)] if grouping and q.get("having") else []
+        last_key = "" if not ties else order_of_rows if grouped is None else grouped.add("o", "_ties", Term(f"min({order_of_rows})", "other")).sql
         names = [c[0] for c in columns]
         if not self.j or grouping:
             for n in {n for n in names if names.count(n) > 1}:
@@ -384,6 +406,8 @@ class Compiler:
             by = f" GROUP BY {', '.join(grouped.keys_sql)}" if grouped.keys_sql else ""
             source, where_sql = f"(SELECT {hints}{inner} FROM {source}{where_sql}{by}) AS _q", f" WHERE {' AND '.join(having)}" if having else ""
             hints = ""
+        if ties:
+            keys.append((last_key, False))
         shown = ", ".join([f"{t.sql} AS {quoted(n)}" for n, t in columns] + [f"{k} AS _k{i}" for i, (k, _) in enumerate(keys)]) or "1 AS _one"
         sql = f"SELECT {hints}{shown} FROM {source}{where_sql}"
         tail = ""

@@ -239,12 +239,6 @@ columns: [{field: l_returnflag}, {aggregate: {function: sum, args: [{field: l_qu
 """, "SELECT l_returnflag, sum(DISTINCT l_quantity) AS s, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag")
 
 document("agg_first_last", """
-from: {name: orders, scan: {orderBy: [{field: o_orderkey}], limit: 10000}}
-groupBy: [{field: o_orderstatus}]
-columns: [{field: o_orderstatus}, {aggregate: {function: first, args: [{field: o_orderkey}]}, as: first_key}, {aggregate: {function: last, args: [{field: o_orderkey}]}, as: last_key}]
-""", "SELECT o_orderstatus, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000) GROUP BY o_orderstatus")
-
-document("agg_first_last_whole", """
 from: {name: orders}
 groupBy: [{field: o_orderstatus}]
 columns: [{field: o_orderstatus}, {aggregate: {function: first, args: [{field: o_custkey}]}, as: first_customer}, {aggregate: {function: last, args: [{field: o_custkey}]}, as: last_customer}, {aggregate: {function: last, args: [{field: o_orderkey}]}, as: last_key}]
@@ -300,14 +294,30 @@ limit: 50
 document("order_nulls", _LABELLED + """
 orderBy: [{field: quality, desc: true}, {field: toxic}, {field: doc_id, source: d}]
 columns: [{field: doc_id, source: d}, {field: quality}, {field: toxic}]
-limit: 450
-""", "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS LAST, toxic ASC NULLS FIRST, d.doc_id LIMIT 450")
-
-document("order_nulls_whole", _LABELLED + """
-orderBy: [{field: quality, desc: true}, {field: toxic}, {field: doc_id, source: d}]
-columns: [{field: doc_id, source: d}, {field: quality}, {field: toxic}]
 """, "SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS LAST, toxic ASC NULLS FIRST, d.doc_id")
 
+document("order_ties", """
+from: {name: orders}
+orderBy: [{field: o_orderpriority}, {field: o_orderstatus, desc: true}]
+limit: 200
+columns: [{field: o_orderkey}, {field: o_orderpriority}]
+""", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderstatus DESC, o_orderkey LIMIT 200")
+
+document("order_ties_groups", """
+from: {name: orders}
+groupBy: [{field: o_custkey}]
+columns: [{field: o_custkey}, {aggregate: {function: count, args: [{star: true}]}, as: n}]
+orderBy: [{field: n, desc: true}]
+limit: 40
+""", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, min(o_orderkey) LIMIT 40")
+
+document("agg_first_last_filtered", """
+from: {name: orders}
+where: {op: ">", left: {field: o_totalprice}, right: {value: 100000}}
+groupBy: [{field: o_orderpriority}]
+columns: [{field: o_orderpriority}, {aggregate: {function: first, args: [{field: o_custkey}]}, as: first_customer}, {aggregate: {function: last, args: [{field: o_custkey}]}, as: last_customer}]
+""", "SELECT o_orderpriority, first(o_custkey ORDER BY o_orderkey) AS first_customer, last(o_custkey ORDER BY o_orderkey) AS last_customer FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderpriority")
+
 document("order_offset_limit", """
 from: {name: events}
 orderBy: [{field: event_id, desc: true}]

@@ -46,14 +46,22 @@ class Session:
     def _same_keys(self, rows: DataFrame) -> DataFrame:
         return rows.select("_key").join(self.df.select("_key"), "_key", "left_semi")
 
+    def _once(self, rows: DataFrame) -> None:
+        again = rows.groupBy("_key").count().where("count > 1").head()
+        if again:
+            raise AlreadyExistsError(again["_key"])
+
     def insert(self, rows: DataFrame) -> Session:
+        """Adds rows; a key that is there already, or twice among the rows, is an error."""
+        self._once(rows)
         taken = self._same_keys(rows).head()
         if taken:
             raise AlreadyExistsError(taken["_key"])
         return Session(self.df.unionByName(rows, allowMissingColumns=True))
 
     def set(self, rows: DataFrame) -> Session:
-        """Rows replace those with their keys; others are added."""
+        """Rows replace those with their keys; others are added. A key twice among the rows is an error."""
+        self._once(rows)
         kept = self.df.join(rows.select("_key").distinct(), "_key", "left_anti").select(*self.df.columns)
         return Session(kept.unionByName(rows, allowMissingColumns=True))
 
