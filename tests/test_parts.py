@@ -49,6 +49,9 @@ def test_records(spark):
     new = keyed(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), "x", "id")
     with pytest.raises(AlreadyExistsError):
         s.insert(new)
+    for write in (s.insert, s.set):
+        with pytest.raises(AlreadyExistsError):
+            write(keyed(spark.createDataFrame([(7, "x"), (7, "y")], "id int, v string"), "x", "id"))
     assert sorted(r["v"] for r in s.set(new).df.collect()) == ["B", "a", "c"]
     assert s.update(key("x", 1), {"v": "z"}).get(key("x", 1))["v"] == "z"
     assert s.delete([key("x", 1)]).df.count() == 1
@@ -67,14 +70,16 @@ def test_lookups(spark):
         assert sorted((r["id"], r["x"]) for r in enrich(df, dim, {"k": "name"}, most_bytes=size).collect()) == [(1, 5), (2, None), (3, None)]
     with pytest.raises(QueryError):
         lookup(df, len, len, dict, "id int", concurrency=65)
+    same = spark.createDataFrame([(8, "a")], "id int, k string")
+    assert [(r["id"], r["id_2"]) for r in enrich(df, same, {"k": "k"}).orderBy("id").collect()] == [(1, 8), (2, None), (3, None)]
 
 
 def test_money(spark):
-    df = spark.createDataFrame([("0.10",), ("0.20",), ("9007199254740993",)], "a string")
-    assert df.select(money_sum(F.col("a"), 2).alias("s"), money_avg(F.col("a"), 2, 4).alias("m")).first().asDict() == {"s": "9007199254740993.3", "m": "3002399751580331.1"}
-    pair = spark.createDataFrame([("1", "32"), ("3", "32"), ("-1", "32"), ("1", "8")], "a string, b string")
-    assert [r[0] for r in pair.select(divided(F.col("a"), F.col("b"), 2, 4)).collect()] == ["0.0312", "0.0938", "-0.0312", "0.125"]
-    for bad in ("0.001", "x", "1e5"):
+    df = spark.createDataFrame([("12.05",), ("0.95",), ("100000000000000000",), (None,)], "a string")
+    assert df.select(money_sum(F.col("a"), 2).alias("s"), money_avg(F.col("a"), 2, 4).alias("m")).first().asDict() == {"s": "100000000000000013", "m": "33333333333333337.6667"}
+    pair = spark.createDataFrame([("5", "16"), ("7", "16"), ("-5", "16"), ("3", "4")], "a string, b string")
+    assert [r[0] for r in pair.select(divided(F.col("a"), F.col("b"), 2, 3)).collect()] == ["0.312", "0.438", "-0.312", "0.75"]
+    for bad in ("2.345", "abc", "7e3"):
         with pytest.raises(Exception, match="money"):
             spark.createDataFrame([(bad,)], "a string").select(money_sum(F.col("a"), 2)).collect()
     c = Catalog(spark).add_rows("P", [{"g": "x", "a": "0.10"}, {"g": "x", "a": "0.25"}])
