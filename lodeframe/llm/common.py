@@ -24,13 +24,16 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a local folder of this session (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a local folder of this session if all of it runs on this
+    machine (tests), and an error on a cluster, whose executors would not share it."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None)
     if not found:
         checkpoint = context._jsc.sc().getCheckpointDir()
         found = checkpoint.get() if checkpoint.isDefined() else None
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         context.setCheckpointDir(found)
     return found
