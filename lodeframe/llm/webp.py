@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -67,21 +68,15 @@ class _Code:
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length by the next `bits` bits."""
-        symbols, lengths = np.full(1 << self.bits, self.used[0], np.int16), np.zeros(1 << self.bits, np.int32)
-        if self.bits:
-            for symbol, length, code in canonical(self.lengths):
-                turned = int(f"{code:0{length}b}"[::-1], 2)
-                symbols[turned :: 1 << length], lengths[turned :: 1 << length] = symbol, length
-        return symbols, lengths
+        if not self.bits:
+            return self.used.astype(np.int16), np.zeros(1, np.int64)
+        symbols, lengths, step = canonical(self.lengths)
+        turned = backwards(self.bits)
+        return np.repeat(symbols.astype(np.int16), step)[turned], np.repeat(lengths, step)[turned]
 
     def table(self) -> list[tuple[int, int]]:
         if self._table is None:
-            out: list[tuple[int, int]] = [(int(self.used[0]), 0)] * (1 << self.bits)
-            if self.bits:
-                for symbol, length, code in canonical(self.lengths):
-                    turned = int(f"{code:0{length}b}"[::-1], 2)
-                    out[turned :: 1 << length] = [(symbol, length)] * (1 << (self.bits - length))
-            self._table = out
+            self._table = list(zip(*(x.tolist() for x in self.arrays()), strict=True))
         return self._table
 
     def read(self, bits: _Bits) -> int:
@@ -92,17 +87,40 @@ class _Code:
         return symbol
 
 
-def canonical(lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    """(symbol, length, code) of each used symbol."""
-    out, code, before = [], 0, 0
-    for symbol in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        length = int(lengths[symbol])
-        code <<= length - before
-        out.append((int(symbol), length, code))
-        code, before = code + 1, length
+@lru_cache(16)
+def backwards(n: int) -> np.ndarray:
+    """The numbers of n bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
     return out
 
 
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The used symbols in the order of their codes, their lengths, and how many codes of the greatest length each takes."""
+    used = np.flatnonzero(lengths)
+    symbols = used[np.argsort(lengths[used], kind="stable")]
+    sizes = lengths[symbols]
+    return symbols, sizes, 1 << (sizes[-1:] - sizes)
+
+
+def prefix_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code (its first bit lowest) and length of each symbol; the only symbol of a code takes no bits."""
+    value, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    symbols, sizes, step = canonical(lengths)
+    if len(symbols) > 1:
+        value[symbols], size[symbols] = backwards(int(sizes[-1]))[np.cumsum(step) - step], sizes
+    return value, size
+
+
+@lru_cache(1024)
+def _only(symbol: int, size: int) -> _Code:
+    """The code of one symbol."""
+    lengths = np.zeros(size, dtype=np.int64)
+    lengths[symbol] = 1
+    return _Code(lengths)
+
+
 def _read_code(bits: _Bits, size: int) -> _Code:
     lengths = np.zeros(size, dtype=np.int64)
     if bits.read(1):
@@ -110,6 +128,8 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= size:
             raise ValueError("a symbol is out of range")
+        if len(set(symbols)) == 1:
+            return _only(symbols[0], size)
         lengths[symbols] = 1
         return _Code(lengths)
     of_lengths = np.zeros(19, dtype=np.int64)
@@ -117,19 +137,29 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         of_lengths[i] = bits.read(3)
     code = _Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    # what is left of the lengths takes under 14 bits a symbol
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * size + 8], "little") >> (bits.at & 7)
+    table, mask = code.table(), (1 << code.bits) - 1
+    found, last, taken = [], 8, 0
+    while len(found) < size and left:
         left -= 1
-        s = code.read(bits)
+        s, n = table[ahead & mask]
+        ahead >>= n
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
-            continue
-        value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
-            raise ValueError("code lengths run over")
-        lengths[at : at + n] = value
-        at += n
+            found.append(s)
+            last = s or last
+        else:
+            value, least, extra = (last, 3, 2) if s == 16 else (0, 3, 3) if s == 17 else (0, 11, 7)
+            found += [value] * (least + (ahead & ((1 << extra) - 1)))
+            ahead >>= extra
+            n += extra
+        taken += n
+    if len(found) > size:
+        raise ValueError("code lengths run over")
+    bits.at += taken
+    if bits.at > bits.end:
+        raise ValueError("the stream ends early")
+    lengths[: len(found)] = found
     return _Code(lengths)
 
 
@@ -163,7 +193,22 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 
 #: Bytes of the stream whose bits are looked up at once.
-STRETCH = 1 << 16
+STRETCH = 1 << 13
+LEAP_BITS = 4
+
+
+@lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """Distances of the 120 short distance codes."""
+    return np.array([max(1, dx + dy * width) for dx, dy in near_offsets()], np.int64)
+
+
+@lru_cache(64)
+def _near_codes(width: int) -> np.ndarray:
+    """The least short distance code of each distance, 0 where there is none."""
+    out = np.zeros(8 * width + 9, np.int64)
+    out[_near(width)[::-1]] = np.arange(120, 0, -1)
+    return out
 
 
 def _values(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +224,7 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
     symbols, sizes = codes[0].arrays()
     far, far_sizes = codes[4].arrays()
     data = np.frombuffer(bits.data, np.uint8)
-    near = np.array([max(1, dx + dy * width) for dx, dy in near_offsets()], np.int64)
+    near = _near(width)
     found: list[tuple[np.ndarray, ...]] = []
     at, have = bits.at, 0
     while have < total:
@@ -192,7 +237,8 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         n = len(window)
         to = min(n, 8 * STRETCH, bits.end - 8 * first)
         head = window[:to] & np.uint32((1 << codes[0].bits) - 1)
-        symbol, following = symbols[head], np.arange(to, dtype=np.int32) + sizes[head]
+        symbol, following = symbols[head], np.arange(to + 128)  # bits behind the stretch stay where they are
+        following[:to] += sizes[head]
         ref = np.flatnonzero(symbol >= 256)
         ahead = lambda q: window[np.minimum(q, n - 1)]  # noqa: E731  behind the stream's end anything will do
         q = following[ref]
@@ -202,11 +248,19 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         q = q + far_sizes[head]
         distance, extra = _values(far[head].astype(np.int32), ahead(q))
         following[ref] = q + extra
-        here, steps, p = [], following.tolist(), at & 7
+        far_on = following
+        for _ in range(LEAP_BITS):  # from each bit, 2 ** LEAP_BITS codes on
+            far_on = np.take(far_on, far_on)
+        here, view, p = [], memoryview(far_on), at & 7
         while p < to:
             here.append(p)
-            p = steps[p]
-        token = np.array(here)
+            p = view[p]
+        tokens = np.empty((1 << LEAP_BITS, len(here)), np.int64)
+        tokens[0] = here
+        for i in range(1, 1 << LEAP_BITS):
+            tokens[i] = following[tokens[i - 1]]
+        token = tokens.T.ravel()
+        token = token[token < to]
         is_ref = symbol[token] >= 256
         of = np.searchsorted(ref, token[is_ref])
         run = np.ones(len(token), np.int64)
@@ -491,33 +545,31 @@ class _Writer:
     """Bits, least significant first."""
 
     def __init__(self):
-        self.parts: list[np.ndarray] = []
         self.held, self.n = 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.held |= value << self.n
         self.n += n
 
-    def code(self, value: int, n: int) -> None:
-        """A prefix code, its first bit first."""
-        self.put(int(f"{value:0{n}b}"[::-1], 2) if n else 0, n)
-
-    def bits(self, bits: np.ndarray) -> None:
-        raw = np.frombuffer(self.held.to_bytes(-(-self.n // 8), "little"), np.uint8)
-        self.parts += [np.unpackbits(raw, bitorder="little")[: self.n], bits]
-        self.held, self.n = 0, 0
+    def all(self, value: np.ndarray, size: np.ndarray) -> None:
+        """One value after another, each of at most 32 bits."""
+        ends = np.cumsum(size)
+        at = ends - size
+        total = int(ends[-1]) if len(ends) else 0
+        wide = value << (at & 31)
+        # no two values share a bit, so sums (exact below 2 ** 53) are unions
+        words = np.bincount(at >> 5, wide & 0xFFFFFFFF, total // 32 + 2) + np.bincount((at >> 5) + 1, wide >> 32, total // 32 + 2)
+        self.put(int.from_bytes(words.astype("<u4").tobytes(), "little"), total)
 
     def data(self) -> bytes:
-        self.bits(np.zeros(0, np.uint8))
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.held.to_bytes(-(-self.n // 8), "little")
 
 
 def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, extra value)."""
-    out, at, last, n = [], 0, 8, len(lengths)
-    edges = np.append(np.flatnonzero(np.diff(lengths)) + 1, n)
-    for end in edges:
-        value, run = int(lengths[at]), int(end - at)
+    out, last = [], 8
+    for value, same in groupby(lengths.tolist()):
+        run = len(list(same))
         while run:
             if value == 0 and run >= 3:
                 k = min(run, 138)
@@ -530,7 +582,6 @@ def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
                 out.append((value, 0, 0))
                 last = value or last
             run -= k
-        at = end
     return out
 
 
@@ -552,11 +603,9 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> None:
     for s in LENGTH_CODE_ORDER[:kept]:
         w.put(int(of_runs[s]), 3)
     w.put(0, 1)
-    single = np.count_nonzero(of_runs) == 1
-    code = {s: (0, 0) if single else (c, n) for s, n, c in canonical(of_runs)}
-    for s, extra, value in runs:
-        w.code(*code[s])
-        w.put(value, extra)
+    value, size = (x.tolist() for x in prefix_codes(of_runs))
+    for s, extra, rest in runs:
+        w.put(value[s] | rest << size[s], size[s] + extra)
 
 
 def _to_prefix(value: int) -> tuple[int, int, int]:
@@ -618,18 +667,18 @@ def _write_image(w: _Writer, pixels: np.ndarray, width: int, main: bool, *, refe
     codes = []
     for n in lengths:
         _write_code(w, n)
-        codes.append({s: (0, 0) if np.count_nonzero(n) == 1 else (c, k) for s, k, c in canonical(n)})
+        codes.append(list(zip(*(x.tolist() for x in prefix_codes(n)), strict=True)))
     for t in tokens:
         if t[0] == -1:
             for group, value, base in ((0, t[1], 256), (4, t[2], 0)):
                 symbol, extra, rest = _to_prefix(value)
-                w.code(*codes[group][base + symbol])
+                w.put(*codes[group][base + symbol])
                 w.put(rest, extra)
         elif t[0] == -2:
-            w.code(*codes[0][280 + t[1]])
+            w.put(*codes[0][280 + t[1]])
         else:
             for c, shift in enumerate((8, 16, 0, 24)):
-                w.code(*codes[c][t[0] >> shift & 255])
+                w.put(*codes[c][t[0] >> shift & 255])
 
 
 def _container(stream: bytes) -> bytes:
@@ -750,13 +799,9 @@ def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
     """The main image, of pixels whose green alone differs: Huffman codes and back-references, one group of codes."""
     start, length, distance = back_references(green, max(_entropy(green), 0.5))
     symbol = green.astype(np.int16)
-    inside = np.zeros(len(green) + 1, np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + length, -1)
+    inside = np.bincount(start, minlength=len(green) + 1) - np.bincount(start + length, minlength=len(green) + 1)
     covered = np.cumsum(inside[:-1]) > 0
-    near = np.zeros(8 * width + 9, np.int64)
-    for i, (dx, dy) in reversed(list(enumerate(near_offsets()))):
-        near[max(1, dx + dy * width)] = i + 1
+    near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
     code = np.where(code > 0, code, distance + 120)
     run, run_n, run_extra = _prefixes(length)
@@ -770,17 +815,9 @@ def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
     w.put(0, 2)  # no colour cache, which would only rename greens; one group of codes
     _write_code(w, lengths[0])
     for value in (0, 0, alpha):  # red, blue, alpha
-        one = np.zeros(256, dtype=np.int64)
-        one[value] = 1
-        _write_code(w, one)
+        w.put(0b101 | value << 3, 11)
     _write_code(w, lengths[1])
-    codes = []
-    for n in lengths:
-        value, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        if np.count_nonzero(n) > 1:
-            for s, k, c in canonical(n):
-                value[s], size[s] = int(f"{c:0{k}b}"[::-1], 2), k
-        codes.append((value, size))
+    codes = [prefix_codes(n) for n in lengths]
     for low in range(0, len(token), 1 << 18):  # a bounded stretch of bits at a time
         high = min(low + (1 << 18), len(token))
         a, b = np.searchsorted(ref, (low, high))
@@ -790,12 +827,7 @@ def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
         value[at, 1], size[at, 1] = run_extra[a:b], run_n[a:b]
         value[at, 2], size[at, 2] = codes[1][0][far[a:b]], codes[1][1][far[a:b]]
         value[at, 3], size[at, 3] = far_extra[a:b], far_n[a:b]
-        value, size = value.ravel(), size.ravel()
-        held = size > 0
-        value, size = value[held], size[held]
-        total = np.cumsum(size)
-        place = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - size, size)
-        w.bits((np.repeat(value, size) >> place & 1).astype(np.uint8))
+        w.all(value.ravel(), size.ravel())
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
