@@ -55,15 +55,19 @@ class _Code:
     """Canonical prefix code; table: what the next `bits` bits mean, as (symbol, length)."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if not len(used):
             raise ValueError("a prefix code has no symbols")
         self.lengths = lengths
         self.used = used
-        self.flat = 0 if len(used) == 1 else int(lengths[used[0]]) if (lengths[used] == lengths[used[0]]).all() else None
-        self.bits = 0 if len(used) == 1 else int(lengths.max())
-        if len(used) > 1 and (1 << self.bits) != int((1 << (self.bits - lengths[used].astype(np.int64))).sum()):
-            raise ValueError("a prefix code is not complete")
+        self.flat: int | None = 0
+        self.bits = 0
+        if len(used) > 1:
+            sizes = lengths[used]
+            self.bits = int(sizes.max())
+            self.flat = self.bits if int(sizes.min()) == self.bits else None
+            if int((1 << (self.bits - sizes)).sum()) != 1 << self.bits:
+                raise ValueError("a prefix code is not complete")
         self._table: list[tuple[int, int]] | None = None
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +102,8 @@ def backwards(n: int) -> np.ndarray:
 
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The used symbols in the order of their codes, their lengths, and how many codes of the greatest length each takes."""
-    used = np.flatnonzero(lengths)
-    symbols = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
+    symbols = used[lengths[used].argsort(kind="stable")]
     sizes = lengths[symbols]
     return symbols, sizes, 1 << (sizes[-1:] - sizes)
 
@@ -225,6 +229,7 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
     far, far_sizes = codes[4].arrays()
     data = np.frombuffer(bits.data, np.uint8)
     near = _near(width)
+    table = symbols.astype(np.int64) << 8 | sizes  # symbol and length in one number
     found: list[tuple[np.ndarray, ...]] = []
     at, have = bits.at, 0
     while have < total:
@@ -236,13 +241,13 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
         n = len(window)
         to = min(n, 8 * STRETCH, bits.end - 8 * first)
-        head = window[:to] & np.uint32((1 << codes[0].bits) - 1)
-        symbol, following = symbols[head], np.arange(to + 128)  # bits behind the stretch stay where they are
-        following[:to] += sizes[head]
-        ref = np.flatnonzero(symbol >= 256)
+        entry = table.take((window[:to] & np.uint32((1 << codes[0].bits) - 1)).astype(np.int64))
+        following = np.arange(to + 128)  # bits behind the stretch stay where they are
+        following[:to] += entry & 255
+        ref = (entry >= 256 << 8).nonzero()[0]
         ahead = lambda q: window[np.minimum(q, n - 1)]  # noqa: E731  behind the stream's end anything will do
         q = following[ref]
-        length, extra = _values(symbol[ref].astype(np.int32) - 256, ahead(q))
+        length, extra = _values((entry[ref] >> 8) - 256, ahead(q))
         q = q + extra
         head = ahead(q) & np.uint32((1 << codes[4].bits) - 1)
         q = q + far_sizes[head]
@@ -250,7 +255,7 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         following[ref] = q + extra
         far_on = following
         for _ in range(LEAP_BITS):  # from each bit, 2 ** LEAP_BITS codes on
-            far_on = np.take(far_on, far_on)
+            far_on = far_on.take(far_on)
         here, view, p = [], memoryview(far_on), at & 7
         while p < to:
             here.append(p)
@@ -258,10 +263,11 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         tokens = np.empty((1 << LEAP_BITS, len(here)), np.int64)
         tokens[0] = here
         for i in range(1, 1 << LEAP_BITS):
-            tokens[i] = following[tokens[i - 1]]
+            following.take(tokens[i - 1], out=tokens[i], mode="clip")
         token = tokens.T.ravel()
         token = token[token < to]
-        is_ref = symbol[token] >= 256
+        symbol = entry[token] >> 8
+        is_ref = symbol >= 256
         of = np.searchsorted(ref, token[is_ref])
         run = np.ones(len(token), np.int64)
         run[is_ref] = length[of]
@@ -269,7 +275,7 @@ def _grey_pixels(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.
         code[is_ref] = distance[of]
         ends = have + np.cumsum(run)
         used = int(np.searchsorted(ends, total)) + 1
-        found.append((symbol[token[:used]], run[:used], code[:used]))
+        found.append((symbol[:used], run[:used], code[:used]))
         have = int(ends[min(used, len(ends)) - 1])
         at = 8 * first + (following[token[used - 1]] if used <= len(token) else p)
     if at > bits.end:
@@ -510,7 +516,7 @@ def decode_stream(stream: bytes) -> np.ndarray:
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Huffman code lengths of at most `most` bits; one used symbol has length 1."""
-    out, used = np.zeros(len(counts), dtype=np.int64), np.flatnonzero(counts)
+    out, used = np.zeros(len(counts), dtype=np.int64), counts.nonzero()[0]
     n = len(used)
     if n < 2:
         out[used] = 1
@@ -586,7 +592,7 @@ def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _write_code(w: _Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = [int(s) for s in used] or [0]
         w.put(1, 1)
@@ -762,11 +768,11 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(values <= 4, less, 2 * top + second), extra, np.where(values <= 4, 0, less - ((2 + second) << np.maximum(top - 1, 0)))
 
 
-def _entropy(values: np.ndarray) -> float:
-    """Bits of a value."""
-    n = np.bincount(values.ravel(), minlength=256)
-    share = n[n > 0] / values.size
-    return float(-(share * np.log2(share)).sum())
+def _entropy(*images: np.ndarray) -> list[float]:
+    """Bits of a value of each image; all are of one size."""
+    n = np.bincount(np.concatenate([x.ravel() + np.int64(256 * i) for i, x in enumerate(images)]), minlength=256 * len(images))
+    share = np.maximum(n, 1) / images[0].size
+    return (-(n / images[0].size * np.log2(share)).reshape(len(images), 256).sum(axis=1)).tolist()
 
 
 def back_references(flat: np.ndarray, literal_bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -778,14 +784,15 @@ def back_references(flat: np.ndarray, literal_bits: float) -> tuple[np.ndarray,
         return none, none, none
     x = flat.astype(np.uint32)
     key = x[:-3] | x[1:-2] << 8 | x[2:-1] << 16 | x[3:] << 24
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    placed = key.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)  # sorted by key, then place
+    placed.sort()
+    order, key = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64), placed >> np.uint64(32)
     back = np.zeros(n, np.int64)
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    back[order[1:]] = np.where(key[1:] == key[:-1], order[1:] - order[:-1], 0)
     edge = np.append(True, back[1:] != back[:-1])
-    ends = np.append(np.flatnonzero(edge)[1:], n)
+    ends = np.append(edge.nonzero()[0][1:], n)
     length = np.minimum(ends[np.cumsum(edge) - 1] - np.arange(n) + 3, 4096)
-    good = np.flatnonzero((back > 0) & (back < (1 << 20) - 120))
+    good = ((back > 0) & (back < (1 << 20) - 120)).nonzero()[0]
     good = good[length[good] * literal_bits > 12 + np.log2(back[good])]
     after, chosen, k = np.searchsorted(good, good + length[good]).tolist(), [], 0
     while k < len(good):
@@ -797,18 +804,17 @@ def back_references(flat: np.ndarray, literal_bits: float) -> tuple[np.ndarray,
 
 def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
     """The main image, of pixels whose green alone differs: Huffman codes and back-references, one group of codes."""
-    start, length, distance = back_references(green, max(_entropy(green), 0.5))
+    start, length, distance = back_references(green, max(_entropy(green)[0], 0.5))
     symbol = green.astype(np.int16)
     inside = np.bincount(start, minlength=len(green) + 1) - np.bincount(start + length, minlength=len(green) + 1)
     covered = np.cumsum(inside[:-1]) > 0
     near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
     code = np.where(code > 0, code, distance + 120)
-    run, run_n, run_extra = _prefixes(length)
-    far, far_n, far_extra = _prefixes(code)
+    (run, far), (run_n, far_n), (run_extra, far_extra) = (x.reshape(2, -1) for x in _prefixes(np.concatenate([length, code])))
     symbol[start] = 256 + run
     covered[start] = False
-    token = np.flatnonzero(~covered)
+    token = (~covered).nonzero()[0]
     symbol = symbol[token]
     ref = np.searchsorted(token, start)
     lengths = [code_lengths(np.bincount(symbol, minlength=280), 12), code_lengths(np.bincount(far, minlength=40), 12)]
@@ -821,12 +827,13 @@ def _write_grey(w: _Writer, green: np.ndarray, width: int, alpha: int) -> None:
     for low in range(0, len(token), 1 << 18):  # a bounded stretch of bits at a time
         high = min(low + (1 << 18), len(token))
         a, b = np.searchsorted(ref, (low, high))
-        value, size = np.zeros((high - low, 4), np.int64), np.zeros((high - low, 4), np.int64)
+        value, size = np.zeros((high - low, 2), np.int64), np.zeros((high - low, 2), np.int64)
         value[:, 0], size[:, 0] = codes[0][0][symbol[low:high]], codes[0][1][symbol[low:high]]
         at = ref[a:b] - low
-        value[at, 1], size[at, 1] = run_extra[a:b], run_n[a:b]
-        value[at, 2], size[at, 2] = codes[1][0][far[a:b]], codes[1][1][far[a:b]]
-        value[at, 3], size[at, 3] = far_extra[a:b], far_n[a:b]
+        value[at, 0] |= run_extra[a:b] << size[at, 0]  # 22 bits at most
+        size[at, 0] += run_n[a:b]
+        head = codes[1][1][far[a:b]]
+        value[at, 1], size[at, 1] = codes[1][0][far[a:b]] | far_extra[a:b] << head, head + far_n[a:b]  # 30 at most
         w.all(value.ravel(), size.ravel())
 
 
@@ -840,7 +847,7 @@ def encode_grey(samples: np.ndarray) -> bytes:
     height, width = samples.shape
     w = _Writer()
     _start(w, width, height)
-    table = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    table = np.bincount(samples.ravel(), minlength=256).nonzero()[0]
     w.put(1, 1)
     if len(table) <= 16:
         w.put(COLOUR_INDEXING, 2)
@@ -856,7 +863,7 @@ def encode_grey(samples: np.ndarray) -> bytes:
         # the first row is always told from the left, the first column from above
         left[1:, 0], left[0, 0] = np.diff(samples[:, 0]), samples[0, 0]
         above[0] = left[0]
-        bits = [_entropy(x) for x in (samples, left, above)]
+        bits = _entropy(samples, left, above)
         mode = int(np.argmin(bits))
         if mode and (bits[0] - bits[mode]) * samples.size > 256:
             w.put(1, 1)
