@@ -86,7 +86,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
     linked, no_result or no_call. position counts a conversation's rows from 0 in topological order: by level, then
     turn of the call, id, and turn of the result, so a call comes after the call it follows; rows without a level
     (no call, or a cycle, which is an error) come last. json has its keys sorted and no spaces: arguments, call_id,
-    name, result. Calls that repeat an identifier count once, the first by turn; calls and results with null
+    name, result; arguments that are not JSON stay there as the string they are. Calls that repeat an identifier count once, the first by turn; calls and results with null
     identifiers are not linked and keep their rows. Empty tables give an empty result; extra columns are not read.
     """
     asked = calls.select("conv_id", "call_id", "name", "arguments", "parent_id", F.col("turn").cast("long").alias("turn"))
@@ -102,7 +102,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
     faults = F.when(F.col("_call").isNull(), F.array(F.lit("call: missing"))).otherwise(F.concat(validate(F.col("name"), F.col("arguments"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("parent: cycle"))).otherwise(F.array().cast("array<string>"))))
     call_id = F.coalesce("call_id", "r_call")
     rows = met.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), call_id.alias("call_id"), "name", "level", "turn", "r_turn", status.alias("status"), faults.alias("errors"),
-        F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), call_id.alias("call_id"), F.col("name").alias("name"), F.col("result").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
+        F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), call_id.alias("call_id"), F.col("name").alias("name"), F.col("result").alias("result")), {"ignoreNullFields": "false"}).alias("json"))
     rows = rows.withColumn("_last", F.col("level").isNull())
     total = calls.count() + results.count()
     order = ranked(rows, ["conv_id", "_last", "level", "turn", "call_id", "r_turn", "json"], "_rank", max(1, min(4096, -(-total // rows_per_part))))

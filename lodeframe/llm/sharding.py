@@ -100,12 +100,18 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, bits: int = BITS, id_col
     last shards are empty; an empty table gives an empty result. Strings that are not among the columns of docs
     are left out as dimensions.
     """
+    placed = _placed(docs, [], shards=shards, bits=bits, id_col=id_col, text_col=text_col, string_cols=string_cols, rows_per_part=rows_per_part)
+    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _placed(docs: DataFrame, carried: list[str], *, shards: int = 8, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", string_cols: tuple[str, ...] = ("lang", "source"), rows_per_part: int = 250_000) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, curve) and the carried columns of docs."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     strings = [c for c in string_cols if c in docs.columns]
-    base = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[docs[c].cast("string").alias(f"_s{i}") for i, c in enumerate(strings)])
+    base = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[docs[c].cast("string").alias(f"_s{i}") for i, c in enumerate(strings)], *[docs[c] for c in carried])
     base = cut(base, "metadata")
     axes = quantised(base, ["size", "doc_id"], [f"_s{i}" for i in range(len(strings))], bits)
-    placed = base.select("doc_id", "size", "text_crc32", hilbert_index(axes, bits).alias("curve"))
+    placed = base.select("doc_id", "size", "text_crc32", hilbert_index(axes, bits).alias("curve"), *carried)
     total = base.count()
     order = ranked(placed, ["curve", "text_crc32", "size", "doc_id"], "_rank", max(1, min(4096, -(-total // rows_per_part))))
     small, more = divmod(total, shards)
@@ -114,11 +120,17 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, bits: int = BITS, id_col
     in_wide = rank < wide
     shard = F.when(in_wide, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - wide) / max(small, 1))).cast("int")
     slot = F.when(in_wide, rank % (small + 1)).otherwise((rank - wide) % max(small, 1)).cast("long")
-    return order.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return order.select("doc_id", "size", "text_crc32", shard.alias("shard"), slot.alias("slot"), "curve", *carried)
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = 8, id_col: str = "doc_id", **options) -> None:
-    """Write whole rows of docs as Parquet, one folder shard=k for each shard, in curve order within each task."""
-    placed = hilbert_shards(docs, shards=shards, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("shard", "slot")).alias("_to"))
-    full = docs.join(placed, docs[id_col].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], F.col("_to.shard").alias("shard"), F.col("_to.slot").alias("_slot"))
+    """Write whole rows of docs as Parquet, one folder shard=k for each shard, in curve order within each task.
+
+    Rows are numbered in a copy of docs, so that rows that repeat an id (or have none) go each to its own shard. An
+    empty table writes no folder; a column of docs named shard is replaced by the folder's.
+    """
+    row = "_lodeframe_row"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    placed = _placed(numbered, [row], shards=shards, id_col=id_col, **options).select(F.col(row).alias("_to"), F.col("shard").alias("_lodeframe_shard"), F.col("slot").alias("_slot"))
+    full = numbered.join(placed, numbered[row] == F.col("_to")).select(*[numbered[c] for c in docs.columns if c != "shard"], F.col("_lodeframe_shard").alias("shard"), "_slot")
     full.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)

@@ -65,6 +65,23 @@ def test_shards(spark, tmp_path):
     assert sharding.hilbert_shards(df.limit(0)).count() == 0
     sharding.write_shards(df, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+    line = sorted(out, key=lambda r: (r["shard"], r["slot"]))
+    along = [(r["curve"], r["text_crc32"], r["size"], r["doc_id"]) for r in line]
+    assert along == sorted(along)
+
+
+def test_written_shards_prune_and_keep_repeated_ids(spark, tmp_path):
+    r = random.Random(4)
+    sizes = r.sample(range(2000), 2000)
+    df = spark.createDataFrame([(i, "x" * n, n) for i, n in enumerate(sizes)], "doc_id long, text string, shard long")
+    sharding.write_shards(df, str(tmp_path / "s"), rows_per_part=300)
+    spread = spark.read.parquet(str(tmp_path / "s")).groupBy("shard").agg(F.count("*").alias("n"), *[(F.max(x) - F.min(x)).alias(k) for k, x in (("ids", F.col("doc_id")), ("sizes", F.length("text")))]).collect()
+    # an eighth of the points; a box may reach a little over the edge of a neighbour's
+    boxes = [s["ids"] * s["sizes"] / 2000**2 for s in spread]
+    assert len(spread) == 8 and all(s["n"] == 250 for s in spread) and max(boxes) < 0.5 and sum(boxes) < 2, boxes
+    same = spark.createDataFrame([(7 if i % 2 else None, "t") for i in range(80)], "doc_id long, text string")
+    sharding.write_shards(same, str(tmp_path / "t"))
+    assert [x["count"] for x in spark.read.parquet(str(tmp_path / "t")).groupBy("shard").count().collect()] == [10] * 8
 
 
 def test_tool_calls(spark):
@@ -84,6 +101,7 @@ def test_tool_calls(spark):
     assert [by[k]["status"] for k in ((1, "a", "again"), (1, "b", None), (1, "x", "?"))] == ["linked", "no_result", "no_call"]
     assert by[1, "b", None]["errors"] == ["city: not in enum", "city: maxLength 1", "n: not of type integer", "n: minimum 1"]
     assert by[1, "c", None]["errors"] == ["arguments: not JSON", "parent: cycle"] and by[1, "c", None]["level"] is None
+    assert json.loads(by[1, "c", None]["json"])["arguments"] == "{bad" and json.loads(by[1, "x", "?"]["json"])["arguments"] is None
     assert by[1, "e", None]["level"] == 2 and by[1, "e", None]["errors"] == ["name: unknown tool"]
     assert by[2, "a", None]["valid"] and by[2, "a", None]["level"] == 0
     first = sorted((r["position"], r["call_id"]) for r in out if r["conv_id"] == 1)
@@ -287,6 +305,49 @@ def test_kneser_ney_sums_to_one(spark):
     assert {g["gram"]: g["c"] for g in counted} == expected
 
 
+def direct_kneser_ney(texts, order):
+    """P(symbol | context) of interpolated modified Kneser-Ney over tuples of classes, by the textbook."""
+    counts = {order: Counter(x[i : i + order] for x in texts for i in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cost, total, left = {}, {}, {}
+    for k in counts:
+        n = Counter(counts[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        cost[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] else 0 for i in (1, 2, 3)]
+        total[k], left[k] = Counter(), Counter()
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            left[k][g[:-1]] += cost[k][min(c, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / quality.CLASSES
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        c = counts[k][g]
+        return (c - cost[k][min(c, 3)] + left[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_ney_against_a_direct_model(spark, order):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["the", "of", "sand", "tide", "lode", "été"]) for _ in range(r.randint(1, 30))) for _ in range(40)]
+    trusted = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    classes = quality.byte_classes(trusted)
+    costs = quality.model(trusted, classes, order).astype(float)
+    raw = [tuple(int(c) for c in classes[np.frombuffer(b"\n" * (order - 1) + t.encode(), np.uint8)]) for t in texts]
+    p = direct_kneser_ney(raw, order)
+    symbols = range(int(classes.max()) + 2)
+    asked = {x[i : i + order] for x in raw for i in range(len(x) - order + 1)} | {tuple(r.choice(symbols) for _ in range(order)) for _ in range(500)}
+    for g in asked:
+        at = sum(c << quality.BITS * (order - 1 - i) for i, c in enumerate(g))
+        assert abs(costs[at] + quality.STEPS * np.log2(max(p(g), 1e-9))) < 0.51, g  # costs are whole steps, 1e-9 the least probability
+
+
 def test_classifier(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice(["the", "an", "er", "on", "ti", "sh"]) for _ in range(r.randint(1, 3)))
