@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.builder import collection
-from lodeframe.functions.keys import key_column
+from lodeframe.functions.keys import Key, key_column
 from lodeframe.functions.money import money_avg, money_sum
 from lodeframe.operators.lookup import enrich, lookup
 from lodeframe.plans.resolve import Context, text_frame
+from lodeframe.plans.run import to_frame
 from lodeframe.queries import _QUERIES, _SQL, catalog, document, register
-from lodeframe.sources.catalog import Relationship
+from lodeframe.sources.catalog import Catalog, Relationship
 from lodeframe.sources.records import Session, keyed
 
 
@@ -178,3 +179,87 @@ def records_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = keyed(_table(spark, sf_dir, "nation"), "nation", "n_nationkey")
     new = df.where("n_nationkey < 3").withColumn("n_name", F.lit("new"))
     return Session(df).set(new).df.select("n_nationkey", "n_name")
+
+
+def federated(name: str, body: str, sql: str) -> None:
+    """A document over tables of two databases: people (customer, nation) and trade (orders)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = Catalog(spark).add_parquet(sf_dir, ["customer", "nation"], database="people").add_parquet(sf_dir, ["orders"], database="trade")
+        return to_frame(c, body, dialect="J")
+
+    _QUERIES[name], _SQL[name] = run, sql
+
+
+federated("federated_join", """
+from: {database: trade, name: orders, as: o, joins: [{from: {database: people, name: customer, as: c, joins: [{from: {database: people, name: nation, as: n}, on: [{left: {field: c_nationkey, source: c}, op: ==, right: {field: n_nationkey, source: n}}]}]}, on: [{left: {field: o_custkey, source: o}, op: ==, right: {field: c_custkey, source: c}}]}]}
+groupBy: [{field: n_name}, {field: o_orderpriority}]
+columns: [{field: n_name}, {field: o_orderpriority}, {aggregate: {function: count, args: [{star: true}]}, as: n}]
+""", "SELECT n_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderpriority")
+
+
+@register("federated_resolver", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 0")
+def federated_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lambda r: _table(spark, sf_dir, r["name"]) if r.get("database") == "trade" else None
+    c = Catalog(spark, resolver=found).add_parquet(sf_dir, ["customer"])
+    return to_frame(c, """
+from: {name: customer, as: c, joins: [{from: {database: trade, name: orders, as: o}, on: [{left: {field: c_custkey, source: c}, op: ==, right: {field: o_custkey, source: o}}]}]}
+where: {op: "<", left: {field: c_acctbal}, right: {value: 0}}
+columns: [{field: c_custkey}, {field: o_orderkey}]
+""", dialect="J")
+
+
+document("join_left_in_left_outer_key", """
+from: {name: nation, as: n, joins: [{type: left, from: {name: supplier, as: s, joins: [{type: left, from: {name: customer, as: c}, on: [{left: {field: c_nationkey, source: c}, op: ==, right: {field: n_regionkey, source: n}}, {left: {field: c_custkey, source: c}, op: ==, right: {field: s_suppkey, source: s}}]}]}, on: [{left: {field: s_nationkey, source: s}, op: ==, right: {field: n_nationkey, source: n}}]}]}
+columns: [{field: n_name}, {field: s_suppkey}, {field: c_name}]
+""", "SELECT n_name, s_suppkey, c_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_regionkey AND c_custkey = s_suppkey")
+
+document("derived_correlated_latest", """
+from: {name: customer, as: c, joins: [{type: left, from: {query: {as: d, from: {name: orders, as: o}, where: {op: ==, left: {field: o_custkey, source: o}, right: {field: c_custkey, source: c}}, orderBy: [{field: o_orderkey, source: o, desc: true}], limit: 2, columns: [{field: o_custkey, source: o}, {field: o_orderkey, source: o}]}}, on: [{left: {field: o_custkey, source: d}, op: ==, right: {field: c_custkey, source: c}}]}]}
+columns: [{field: c_custkey, source: c}, {field: o_orderkey, source: d}]
+""", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2) ON o_custkey = c_custkey", dialect="R")
+
+document("derived_correlated_sum", """
+from: {name: part, as: p, joins: [{from: {query: {as: d, from: {name: lineitem, as: l}, where: {and: [{op: ==, left: {field: l_partkey, source: l}, right: {field: p_partkey, source: p}}, {op: "<", left: {field: l_quantity, source: l}, right: {field: p_size, source: p}}]}, groupBy: [{field: l_partkey, source: l}], columns: [{field: l_partkey, source: l}, {aggregate: {function: sum, args: [{field: l_quantity, source: l}]}, as: held}]}}, on: [{left: {field: l_partkey, source: d}, op: ==, right: {field: p_partkey, source: p}}]}]}
+columns: [{field: p_partkey, source: p}, {field: held, source: d}]
+""", "SELECT p_partkey, sum(l_quantity) AS held FROM part JOIN lineitem ON l_partkey = p_partkey AND l_quantity < p_size GROUP BY p_partkey", dialect="R")
+
+document("rec_first_last_skip_null", """
+from: {name: documents, as: d, joins: [{type: left, from: {name: labels, as: l}, on: [{left: {field: doc_id, source: d}, op: ==, right: {field: doc_id, source: l}}]}]}
+groupBy: [{field: lang, source: d}]
+columns: [{field: lang, source: d}, {aggregate: {function: first, args: [{field: quality, source: l}]}, as: first_quality}, {aggregate: {function: last, args: [{field: toxic, source: l}]}, as: last_toxic}]
+""", "SELECT d.lang, first(quality ORDER BY d.doc_id) FILTER (quality IS NOT NULL) AS first_quality, last(toxic ORDER BY d.doc_id) FILTER (toxic IS NOT NULL) AS last_toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang", dialect="R")
+
+document("filter_ne_three_valued", """
+from: {name: documents, as: d, joins: [{type: left, from: {name: labels, as: l}, on: [{left: {field: doc_id, source: d}, op: ==, right: {field: doc_id, source: l}}]}]}
+where: {op: "!=", left: {field: quality, source: l}, right: {value: 1}}
+columns: [{field: doc_id, source: d}, {field: quality, source: l}]
+""", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality <> 1", dialect="R")
+
+
+@register("builder_array_contains_any", "SELECT vec_id FROM embeddings WHERE label IN (1, 2, 6, 7)")
+def builder_array_contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "embeddings").withColumn("tags", F.array("label", F.col("label") + 1))
+    return collection("embeddings").where("tags", "array-contains-any", [2, 7]).frame(df).select("vec_id")
+
+
+@register("builder_cursor_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 900 AND o_orderkey > 300")
+def builder_cursor_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection("orders").order_by("o_orderkey", "desc").start_at(900).end_before(300).frame(_table(spark, sf_dir, "orders")).select("o_orderkey")
+
+
+@register("records_get_many", "SELECT * FROM (VALUES (0, 'nation/3', true), (1, 'nation/99', false), (2, 'nation/1', true)) t(place, path, found)")
+def records_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = keyed(_table(spark, sf_dir, "nation"), "nation", "n_nationkey")
+    out = Session(df).get_many([Key("nation", i) for i in (3, 99, 1)])
+    return out.select(F.col("_at").cast("int").alias("place"), F.col("_key").alias("path"), F.col("_exists").alias("found"))
+
+
+@register("records_insert_update_delete", """
+SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'renamed' ELSE n_name END AS n_name FROM nation WHERE n_nationkey NOT IN (4, 5)
+UNION ALL SELECT n_nationkey + 1000, n_name FROM nation WHERE n_nationkey < 3""")
+def records_insert_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "nation")
+    more = keyed(table.where("n_nationkey < 3").withColumn("n_nationkey", F.col("n_nationkey") + 1000), "nation", "n_nationkey")
+    new = Session(keyed(table, "nation", "n_nationkey")).insert(more).update(Key("nation", 2), {"n_name": "renamed"}).delete([Key("nation", 4), Key("nation", 5)])
+    return new.df.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")

@@ -51,6 +51,17 @@ class Relation:
     alias: str
     fields: dict[str, Term]
     optional: bool = False
+    lateral: set[str] = field(default_factory=set)  # aliases before it that a derived table refers to
+
+
+@dataclass
+class Later:
+    """A LEFT join that reaches out of its bracket, to be made after the join above."""
+
+    sql: str
+    aliases: list[str]
+    on: str
+    names: set[str]
 
 
 @dataclass
@@ -64,6 +75,7 @@ class Scope:
     carried: dict[tuple[str, str], str] = field(default_factory=dict)
     carries: list[tuple[str, str, str, Scope]] = field(default_factory=list)
     source: str = ""
+    beside: bool = False  # relations before a derived table in the same FROM: no level of its own
 
     def term(self, alias: str, name: str) -> Term:
         return self.lookup(alias, name) if self.lookup else self.relations[alias].fields[name]
@@ -75,6 +87,7 @@ class Compiler:
         self.frames: dict[str, DataFrame] = {}
         self.args: dict[str, Any] = {}
         self.numbers = itertools.count()
+        self.by_values = False  # a derived table evaluated for each row beside it cannot number rows: its ties order by value
 
     # -- parts -------------------------------------------------------------------------------------------
 
@@ -110,7 +123,7 @@ class Compiler:
                 raise QueryError("join_scope" if self.j else "scope", path, f"ambiguous field {name}")
             if owners:
                 return level.term(owners[0], name) if depth < 2 else self.carry(scope, level, owners[0], name, depth)
-            level, depth = level.parent, depth + 1
+            level, depth = level.parent, depth + (not level.beside)
         raise QueryError("join_field" if self.j and source is None else "join_scope" if self.j else "scope", path, f"unknown field {f'{source}.' if source else ''}{name}")
 
     def carry(self, scope: Scope, home: Scope, alias: str, name: str, depth: int) -> Term:
@@ -119,6 +132,7 @@ class Compiler:
         levels = [scope]
         while levels[-1].parent is not home:
             levels.append(levels[-1].parent)
+        levels = [x for x in levels if not x.beside]
         term = home.term(alias, name)
         key = (alias, name)
         for level in reversed(levels[1:]):
@@ -276,11 +290,18 @@ class Compiler:
 
     # -- relations ---------------------------------------------------------------------------------------
 
-    def leaf(self, r: Mapping[str, Any], scope: Scope, path: str, flags: Flags) -> tuple[str, Relation]:
-        numbered = False
+    def leaf(self, r: Mapping[str, Any], scope: Scope, path: str, flags: Flags, guard: bool = False) -> tuple[str, Relation]:
+        numbered, lateral = False, set()
         if "query" in r:
             alias = r["query"].get("as") or r.get("as") or r.get("alias")
-            sql, columns, _ = self.query(r["query"], scope.parent, f"{path}.query")
+            siblings = Scope(relations=dict(scope.relations), parent=scope.parent, beside=True)
+            siblings.lookup = lambda a, f: lateral.add(a) or siblings.relations[a].fields[f]
+            frame = siblings if scope.relations else scope.parent
+            sql, columns, _ = self.query(r["query"], frame, f"{path}.query")
+            if lateral and not self.by_values:
+                self.by_values = True
+                sql, columns, _ = self.query(r["query"], frame, f"{path}.query")
+                self.by_values = False
             fields = {n: Term(f"{quoted(alias)}.{quoted(n)}", k, t) for n, k, t in columns}
             inner = sql
         else:
@@ -300,41 +321,59 @@ class Compiler:
             numbered = "_ord" in df.columns and "_ord" not in fields
             self.frames[name] = df
             inner = f"SELECT * FROM {{{name}}}"
-        extra = ", monotonically_increasing_id() AS _ord" * (flags.order and not numbered) + ", true AS _here" * flags.presence
+        number = "struct(*)" if lateral or self.by_values else "monotonically_increasing_id()"
+        extra = f", {number} AS _ord" * (flags.order and not numbered) + ", true AS _here" * (flags.presence or guard)
         if extra:
             inner = f"SELECT *{extra} FROM ({inner})"
         if alias in scope.relations:
             raise QueryError("join_scope", path, f"duplicate alias {alias}")
-        return f"({inner}) AS {quoted(alias)}", Relation(alias, fields)
+        return f"({inner}) AS {quoted(alias)}", Relation(alias, fields, lateral=lateral)
 
-    def tree(self, r: Mapping[str, Any], scope: Scope, path: str, flags: Flags, optional: bool = False) -> tuple[str, list[str], list[str]]:
-        """SQL of a relation with its joins as one bracket, the aliases in it, and inner predicates that reach out of
-        it (they belong to the ON of the join above)."""
-        sql, relation = self.leaf(r, scope, path, flags)
+    def tree(self, r: Mapping[str, Any], scope: Scope, path: str, flags: Flags, optional: bool = False) -> tuple[str, list[str], list[tuple[str, set[str]]], list[Later]]:
+        """SQL of a relation with its joins as one bracket, the aliases in it, inner predicates that reach out of it
+        with the aliases they name (they belong to the ON of a join above), and LEFT joins that reach out of it (they
+        follow the join above: A LEFT (B LEFT C ON p(A, C)) is (A LEFT B) LEFT C ON p(A, C) where B is there)."""
+        sql, relation = self.leaf(r, scope, path, flags, guard=path != "from" and bool(r.get("joins")))
         relation.optional = optional
         scope.relations[relation.alias] = relation
-        inside, outer = [relation.alias], []
+        inside, outer, waiting = [relation.alias], [], []
+        late: set[str] = set()
         for i, j in enumerate(r.get("joins") or ()):
             here = f"{path}.joins[{i}]"
             left = j.get("type", "inner") == "left"
-            before = dict(scope.relations)
-            right, aliases, reaching = self.tree(j["from"], scope, f"{here}.from", flags, optional or left)
-            on, lifted = list(reaching), []
+            right, aliases, reaching, deferred = self.tree(j["from"], scope, f"{here}.from", flags, optional or left)
+            known = set(inside) | set(aliases)
+            lateral = scope.relations[aliases[0]].lateral
+            if lateral:
+                if len(aliases) > 1 or not lateral <= known:
+                    raise UnsupportedError("a derived table that refers to relations outside its bracket, or has joins of its own")
+                right = f"LATERAL {right}"
+            on = list(reaching)
             for n, p in enumerate(j.get("on") or ()):
-                at = f"{here}.on[{n}]"
-                sides = [self.resolve(scope, p[s], f"{at}.{s}") for s in ("left", "right")]
-                sql_on = self.key_equal(*sides)
-                names = {p[s].get("source") for s in ("left", "right")}
-                known = set(inside) | set(aliases) | {None}
-                (lifted if not left and not names <= known and names & set(before) else on).append(sql_on)
-            if lifted and path == "from":
-                on, lifted = on + lifted, []
-            outer += lifted
-            hint = self.hint(j, aliases)
-            sql = f"{sql} {'LEFT' if left else 'INNER'} JOIN {right} ON {' AND '.join(on) or 'true'}"
-            flags.hints += hint
+                sides = [p[s] for s in ("left", "right")]
+                terms = [self.resolve(scope, x, f"{here}.on[{n}].{s}") for x, s in zip(sides, ("left", "right"), strict=True)]
+                on.append((self.key_equal(*terms), {a for x in sides for a, held in scope.relations.items() if x.get("source", a) == a and x["field"] in held.fields}))
+            if left and path != "from" and any(not names <= known - late for _, names in on):
+                waiting.append(Later(right, aliases, " AND ".join(c for c, _ in on), set().union(*(names for _, names in on))))
+                late |= set(aliases)
+            else:
+                if not left and path != "from":
+                    outer += [c for c in on if not c[1] <= known]
+                    on = [c for c in on if c[1] <= known]
+                if any(names & (late | {a for d in deferred for a in d.aliases}) for _, names in on):
+                    raise UnsupportedError("a join by fields of a LEFT join that reaches out of its bracket")
+                sql = f"{sql} {'LEFT' if left else 'INNER'} JOIN {right} ON {' AND '.join(c for c, _ in on) or 'true'}"
             inside += aliases
-        return (f"({sql})" if len(inside) > 1 and path != "from" else sql), inside, outer
+            for d in deferred:
+                if left:
+                    d.on, d.names = f"{d.on} AND {quoted(aliases[0])}._here", d.names | {aliases[0]}
+                if path == "from" or d.names <= set(inside) - late:
+                    sql = f"{sql} LEFT JOIN {d.sql} ON {d.on}"
+                else:
+                    waiting.append(d)
+                    late |= set(d.aliases)
+            flags.hints += self.hint(j, aliases)
+        return (f"({sql})" if len(inside) > 1 and path != "from" else sql), inside, outer, waiting
 
     def key_equal(self, a: Term, b: Term) -> str:
         """Join keys: null matches nothing, a number matches no string; NaN and objects are errors in J."""
@@ -372,7 +411,7 @@ class Compiler:
         # rows that tie keep their order, which shows where LIMIT or OFFSET takes some of them
         ties = bool(q.get("orderBy")) and bool(q.get("limit") or q.get("offset")) and not existence
         flags = Flags(order=ordered or ties, presence=not q.get("columns") and not existence and bool(q["from"].get("joins")), governed=governed)
-        source, aliases, _ = self.tree(q["from"], scope, "from", flags)
+        source, aliases, _, _ = self.tree(q["from"], scope, "from", flags)
         scope.source = source
         scope.equal = list(self.equalities(q.get("where"), scope))
         where = [self.condition(scope, q["where"], f"{path}.where" if path else "where")] if q.get("where") else []

@@ -69,7 +69,7 @@ def run(catalog: Catalog, query: Query | str | Mapping[str, Any], **options: Any
 
 def translated(e: Exception) -> Exception:
     text = str(e)
-    if "SCALAR_SUBQUERY_TOO_MANY_ROWS" in text or "more than one row" in text:
+    if "SCALAR_SUBQUERY_TOO_MANY_ROWS" in text:
         return QueryError("cardinality", "query", "a scalar query gave more than one row")
     if "USER_RAISED_EXCEPTION" in text:
         said = text.split("[USER_RAISED_EXCEPTION]", 1)[1].strip().split(" SQLSTATE")[0].rstrip(".").split("\n")[0]

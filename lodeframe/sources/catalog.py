@@ -78,10 +78,13 @@ class Table:
 
 
 class Catalog:
-    """(database, schema, name) to tables. A relation without database or schema finds the default one."""
+    """(database, schema, name) to tables. A relation without database or schema finds the default one.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    resolver: asked for relations that are not here; gives a DataFrame, or None where it has none either.
+    """
+
+    def __init__(self, spark: SparkSession, resolver: Callable[[Mapping[str, Any]], DataFrame | None] | None = None):
+        self.spark, self.resolver = spark, resolver
         self.tables: dict[tuple[str | None, str | None, str], Table] = {}
         self.relationships: list[Relationship] = []
 
@@ -122,9 +125,9 @@ class Catalog:
     def find(self, relation: Mapping[str, Any]) -> Table:
         key = (relation.get("database"), relation.get("schema"), relation["name"])
         found = self.tables.get(key) or (self.tables.get((key[0], None, key[2])) if key[1] is None else None)
-        if found is None and key[0] is None and key[1] is None:
-            named = [t for (_, _, name), t in self.tables.items() if name == key[2]]
-            found = named[0] if len(named) == 1 else None
+        if found is None and self.resolver is not None:
+            df = self.resolver(relation)
+            found = None if df is None else Table(lambda: df)
         if found is None:
             raise NotFoundError(".".join(str(k) for k in key if k) + " is not in the catalog")
         return found

@@ -18,6 +18,7 @@ def tables(spark):
     c.add_rows("A", [{"id": 1}, {"id": 2}])
     c.add_rows("Port", [{"port": 1}, {"port": 2}, {"port": 3}])
     c.add_rows("Ship", [{"ship": 100, "berth": 2}, {"ship": 101, "berth": 2}, {"ship": 102, "berth": 3}])
+    c.add_rows("Watch", [{"watch": 20, "at": 1}, {"watch": 21, "at": 2}])
     c.add_rows("Crew", [{"crew": 7, "aboard": 102}])
     c.add_rows("Huge", [{"id": n, "g": g, "x": x} for n, (g, x) in enumerate([("up", 9e307), ("mid", 6e307), ("up", 9e307), ("mid", -1.2e308), ("mid", 6e307)])])
     c.add_rows("Gauge", [{"id": 1, "x": 1.0}, {"id": 2, "x": float("nan")}])
@@ -84,6 +85,32 @@ def test_a_bracket_is_joined_first_and_extended_whole(tables):
     assert found("left") == [(1, None, None), (2, 100, None), (2, 101, None), (3, 102, 7)]
 
 
+def on(a, b):
+    return [{"left": field(*a), "op": "==", "right": field(*b)}]
+
+
+def test_left_joins_may_reach_out_of_their_bracket(tables):
+    """Ports, left-joined with (ships left-joined with the watch of the port)."""
+    watch = {"type": "left", "from": {"name": "Watch", "as": "w"}, "on": on(("at", "w"), ("port", "p"))}
+    body = lambda kind: {"from": {"name": "Port", "as": "p", "joins": [{"type": kind, "from": {"name": "Ship", "as": "s", "joins": [watch]}, "on": on(("port", "p"), ("berth", "s"))}]}, "columns": [field("port", "p"), field("ship", "s"), field("watch", "w")]}
+    found = lambda b: sorted((tuple(r.values()) for r in run(tables, b)), key=str)
+    # port 1 has a watch but no ship: the bracket is extended whole
+    assert found(body("left")) == [(1, None, None), (2, 100, 21), (2, 101, 21), (3, 102, None)]
+    assert found(body("inner")) == [(2, 100, 21), (2, 101, 21), (3, 102, None)]
+    # a second level: crew hangs on the deferred watch
+    deep = body("left")
+    deep["from"]["joins"][0]["from"]["joins"] = [watch | {"from": watch["from"] | {"joins": [{"type": "left", "from": {"name": "Crew", "as": "c"}, "on": on(("aboard", "c"), ("ship", "s"))}]}}]
+    deep["columns"].append(field("crew", "c"))
+    assert found(deep) == [(1, None, None, None), (2, 100, 21, None), (2, 101, 21, None), (3, 102, None, None)]
+
+
+@pytest.mark.parametrize(("kind", "expected"), [("inner", [(2, 101), (3, 102)]), ("left", [(1, None), (2, 101), (3, 102)])])
+def test_derived_tables_see_the_relations_before_them(tables, kind, expected):
+    last = {"as": "d", "from": {"name": "Ship", "as": "s"}, "where": {"op": "==", "left": field("berth", "s"), "right": field("port", "p")}, "orderBy": [field("ship", "s") | {"desc": True}], "limit": 1, "columns": [field("ship", "s"), field("berth", "s")]}
+    body = {"from": {"name": "Port", "as": "p", "joins": [{"type": kind, "from": {"query": last}, "on": on(("berth", "d"), ("port", "p"))}]}, "columns": [field("port", "p"), field("ship", "d")]}
+    assert sorted((tuple(r.values()) for r in run(tables, body, dialect="R")), key=str) == expected
+
+
 def test_nan_is_no_join_key(tables):
     body = {"from": {"name": "Gauge", "as": "a", "joins": [{"from": {"name": "Gauge", "as": "b"}, "on": [{"left": field("x", "a"), "op": "==", "right": field("x", "b")}]}]}, "columns": [field("id", "a")]}
     with pytest.raises(QueryError) as e:
