@@ -219,6 +219,11 @@ from: {name: customer, as: c, joins: [{type: left, from: {query: {as: d, from: {
 columns: [{field: c_custkey, source: c}, {field: o_orderkey, source: d}]
 """, "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2) ON o_custkey = c_custkey", dialect="R")
 
+document("sub_scalar_corr_latest", """
+from: {name: customer, as: c}
+columns: [{field: c_custkey, source: c}, {query: {as: latest, from: {name: orders, as: o}, where: {op: ==, left: {field: o_custkey, source: o}, right: {field: c_custkey, source: c}}, orderBy: [{field: o_totalprice, source: o, desc: true}, {field: o_orderkey, source: o}], limit: 1, columns: [{field: o_orderkey, source: o}]}}]
+""", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS latest FROM customer", dialect="R")
+
 document("derived_correlated_sum", """
 from: {name: part, as: p, joins: [{from: {query: {as: d, from: {name: lineitem, as: l}, where: {and: [{op: ==, left: {field: l_partkey, source: l}, right: {field: p_partkey, source: p}}, {op: "<", left: {field: l_quantity, source: l}, right: {field: p_size, source: p}}]}, groupBy: [{field: l_partkey, source: l}], columns: [{field: l_partkey, source: l}, {aggregate: {function: sum, args: [{field: l_quantity, source: l}]}, as: held}]}}, on: [{left: {field: l_partkey, source: d}, op: ==, right: {field: p_partkey, source: p}}]}]}
 columns: [{field: p_partkey, source: p}, {field: held, source: d}]

@@ -457,7 +457,9 @@ class Compiler:
         if q.get("offset"):
             tail += f" OFFSET {int(q['offset'])}"
         if keys:
-            sql = f"SELECT {', '.join(quoted(n) for n in names) or '1 AS _one'} FROM ({sql}){tail}"
+            shown = ", ".join(quoted(n) for n in names) or "1 AS _one"
+            # within a level the sort stands right under the limit: only there does a correlated limit keep its order
+            sql = f"SELECT {shown} FROM ({sql}){tail}" if outer is None else f"SELECT {shown} FROM (SELECT * FROM ({sql}){tail})"
         elif tail:
             sql += tail
         return sql, [(n, t.kind, t.type) for n, t in columns], scope
