@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from typing import Any
 
 import pandas as pd
@@ -55,3 +55,34 @@ def lookup(df: DataFrame, key_of: Callable[[dict[str, Any]], Any], fetch: Callab
                 yield pd.DataFrame([merge(r, found.get(k)) for r, k in zip(rows, keys, strict=True)])
 
     return df.mapInPandas(run, schema)
+
+
+def lookup_pages(pages: Iterable[list[dict[str, Any]]], key_of: Callable[[dict[str, Any]], Any], fetch: Callable[[Any], Any], merge: Callable[[dict[str, Any], Any], dict[str, Any]], *, concurrency: int = 8, on_progress: Callable[[dict[str, int]], None] | None = None) -> Iterator[list[dict[str, Any]]]:
+    """Result pages (of at most 1000 rows) enriched one at a time, so that the driver holds one page; order is kept.
+
+    Each distinct key of a page is fetched once, up to concurrency at once; a null key is not fetched and merges None.
+    on_progress takes rows_loaded, requests_completed, requests_in_flight and requests_pending, all but the last two
+    over all pages so far, after every request. The first error ends the pages; no page, no progress.
+    """
+    if not 1 <= concurrency <= 64:
+        raise QueryError("query_limit", "concurrency", "from 1 to 64")
+    loaded = completed = 0
+    with ThreadPoolExecutor(concurrency) as pool:
+        for page in pages:
+            if len(page) > 1000:
+                raise QueryError("query_limit", "page", "more than 1000 rows")
+            loaded += len(page)
+            keys = [key_of(r) for r in page]
+            waiting = {pool.submit(fetch, k): k for k in dict.fromkeys(keys) if k is not None}
+            found, total = {}, len(waiting)
+            try:
+                for done in as_completed(waiting):
+                    found[waiting[done]] = done.result()
+                    completed += 1
+                    if on_progress:
+                        left = total - len(found)
+                        on_progress({"rows_loaded": loaded, "requests_completed": completed, "requests_in_flight": min(left, concurrency), "requests_pending": max(0, left - concurrency)})
+            finally:
+                for request in waiting:
+                    request.cancel()
+            yield [merge(r, found.get(k)) for r, k in zip(page, keys, strict=True)]

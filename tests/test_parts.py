@@ -7,8 +7,8 @@ from lodeframe.builder import collection, collection_group
 from lodeframe.errors import AlreadyExistsError, NotFoundError, QueryError, UnsupportedError
 from lodeframe.functions.keys import escape_id, key, key_column
 from lodeframe.functions.money import divided, money_avg, money_sum
-from lodeframe.operators.lookup import enrich, lookup
-from lodeframe.plans.run import run
+from lodeframe.operators.lookup import enrich, lookup, lookup_pages
+from lodeframe.plans.run import run, to_frame
 from lodeframe.sources.capabilities import capabilities, is_capability_aware, require
 from lodeframe.sources.catalog import Catalog
 from lodeframe.sources.records import Session, keyed
@@ -74,6 +74,31 @@ def test_lookups(spark):
     assert [(r["id"], r["id_2"]) for r in enrich(df, same, {"k": "k"}).orderBy("id").collect()] == [(1, 8), (2, None), (3, None)]
 
 
+def test_lookups_of_pages(spark):
+    seen, asked = [], []
+    pages = [[{"id": 1, "k": "a"}, {"id": 2, "k": None}, {"id": 3, "k": "a"}], [{"id": 4, "k": "b"}]]
+    fetch = lambda k: asked.append(k) or k.upper()
+    out = list(lookup_pages(pages, lambda r: r["k"], fetch, lambda r, v: {"id": r["id"], "v": v}, on_progress=seen.append))
+    assert out == [[{"id": 1, "v": "A"}, {"id": 2, "v": None}, {"id": 3, "v": "A"}], [{"id": 4, "v": "B"}]]
+    assert sorted(asked) == ["a", "b"]
+    assert [(p["rows_loaded"], p["requests_completed"], p["requests_pending"]) for p in seen] == [(3, 1, 0), (4, 2, 0)]
+    assert list(lookup_pages([], len, len, lambda r, v: r)) == []
+    with pytest.raises(ZeroDivisionError):
+        list(lookup_pages(pages, lambda r: r["k"], lambda k: 1 // 0, lambda r, v: r))
+    with pytest.raises(QueryError):
+        list(lookup_pages([[{}] * 1001], lambda r: None, len, lambda r, v: r))
+
+
+def test_two_databases(spark):
+    trade = spark.range(3)
+    c = Catalog(spark, resolver=lambda r: trade if r.get("database") == "trade" else None).add("t", spark.range(5), database="people")
+    count = lambda **where: to_frame(c, {"from": {"name": "t", "as": "t", **where}, "columns": [{"field": "id"}]}, dialect="J").count()
+    assert (count(database="people"), count(database="trade")) == (5, 3)
+    for where in ({}, {"database": "other"}):
+        with pytest.raises(NotFoundError):
+            count(**where)
+
+
 def test_money(spark):
     df = spark.createDataFrame([("12.05",), ("0.95",), ("100000000000000000",), (None,)], "a string")
     assert df.select(money_sum(F.col("a"), 2).alias("s"), money_avg(F.col("a"), 2, 4).alias("m")).first().asDict() == {"s": "100000000000000013", "m": "33333333333333337.6667"}
