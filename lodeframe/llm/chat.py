@@ -1,8 +1,8 @@
 """Tool calls of conversations: linked to their results, ordered, validated, and written as canonical JSON.
 
-Calls and results meet in a hash join by (conversation, identifier). A call may follow one other call; levels come
-from pointer doubling over these links, so a chain of n calls takes log2(n) rounds, and the order is a
-distributed sort. Arguments are parsed to variants and held against compiled schemas. DataFrame functions only.
+Calls and results meet in a hash join by (conversation, identifier). A call may follow several other calls; levels
+come from pointer doubling over chains and waves over the calls where chains meet, so a chain of n calls takes
+log2(n) rounds, and the order is a distributed sort. Arguments are parsed to variants and held against compiled schemas. DataFrame functions only.
 No step gathers a conversation: every linked result is a row of its own.
 """
 
@@ -58,41 +58,73 @@ def validate(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
     return F.when(parsed.isNull(), F.array(F.lit("arguments: not JSON"))).otherwise(found)
 
 
+def _by_key(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """left joined with right, whose conversation is _c, where left's key is right's other."""
+    return left.join(right, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col(key) == F.col(other)))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): how many calls come before a call along its parents; null on or behind a cycle.
+    """(conv_id, call_id, level): the longest way to a call along the calls it follows; null on or behind a cycle.
 
-    calls: (conv_id, call_id, parent_id), ids unique within a conversation. A parent that is not among the calls
-    counts as none.
+    calls: (conv_id, call_id, parents), ids unique within a conversation, parents an array of ids. Parents that are
+    not among the calls, nulls and repeats do not count; a null array is an empty one. Calls with one parent are
+    doubled up to the nearest call with none or several (log2 of the longest chain rounds); calls with several are then
+    settled in waves, as many rounds as they stand behind one another. No calls: an empty result.
     """
-    known = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_p"))
-    linked = calls.join(known, (F.col("conv_id").eqNullSafe(F.col("_c"))) & (F.col("parent_id") == F.col("_p")), "left")
-    now = cut(linked.select("conv_id", "call_id", F.col("_p").alias("up"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
+    ids = calls.select("conv_id", "call_id")
+    known = ids.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_p"))
+    asked = calls.select("conv_id", "call_id", F.explode(F.array_distinct("parents")).alias("parent"))
+    edges = cut(_by_key(asked, known, "parent", "_p").select("conv_id", "call_id", "parent"), "edges")
+    counted = edges.groupBy(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i")).agg(F.count("*").alias("n"), F.min("parent").alias("one"))
+    linked = ids.join(counted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("call_id") == F.col("_i")), "left")
+    up, joint = F.when(F.col("n") == 1, F.col("one")), F.coalesce(F.col("n") > 1, F.lit(False))
+    now = cut(linked.select("conv_id", "call_id", up.alias("up"), F.coalesce(up, "call_id").alias("top"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("level"), joint.alias("joint")), "levels")
     total = now.count()
     for _ in range(max(1, math.ceil(math.log2(max(total, 2)))) + 1):
         if not now.where("up is not null").limit(1).count():
             break
-        ahead = now.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("up").alias("_up"), F.col("level").alias("_level"))
-        open_ = now.where("up is not null").join(ahead, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_i")))
-        moved = open_.select("conv_id", "call_id", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level"))
+        ahead = now.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("level").alias("_level"))
+        moved = _by_key(now.where("up is not null"), ahead, "up", "_i").select("conv_id", "call_id", F.col("_up").alias("up"), F.col("_top").alias("top"), (F.col("level") + F.col("_level")).alias("level"), "joint")
         now = cut(moved.unionAll(now.where("up is null")), "levels")
-    return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    if not now.where("joint").limit(1).count():
+        return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    # what a call with several parents waits for: the tops of their chains (null behind a cycle), and how far off
+    chain = now.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.when(F.col("up").isNull(), F.col("top")).alias("top"), (F.col("level") + 1).alias("far"))
+    several = now.where("joint").select(F.col("conv_id").alias("_d"), F.col("call_id").alias("_j"))
+    waits = edges.join(several, F.col("conv_id").eqNullSafe(F.col("_d")) & (F.col("call_id") == F.col("_j")), "left_semi")
+    waits = cut(_by_key(waits, chain, "parent", "_i").groupBy("conv_id", "call_id", "top").agg(F.max("far").alias("far")), "waits")
+    done = cut(now.where("up is null and not joint and top = call_id").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.lit(0).cast("long").alias("_level")), "done")
+    while True:
+        met = waits.join(done, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("top") == F.col("_i")), "left")
+        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("_level").alias("found"), F.max(F.col("far") + F.col("_level")).alias("_level")).where("n = found")
+        new = cut(ready.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "_level"), "done")
+        if not new.limit(1).count():
+            break
+        done = done.unionAll(new)
+        settled = new.select(F.col("_c").alias("_d"), F.col("_i").alias("_j"))
+        waits = cut(waits.join(settled, F.col("conv_id").eqNullSafe(F.col("_d")) & (F.col("call_id") == F.col("_j")), "left_anti"), "waits")
+    closed = now.withColumn("top", F.when(F.col("up").isNull(), F.col("top")))
+    out = closed.join(done, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("top") == F.col("_i")), "left")
+    return out.select("conv_id", "call_id", (F.col("level") + F.col("_level")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]], *, rows_per_part: int = 250_000) -> DataFrame:
     """One row for each result and for each call without one:
     (conv_id, position, call_id, name, level, status, valid, errors, json).
 
-    calls: (conv_id, call_id, name, arguments, parent_id, turn); results: (conv_id, call_id, content, turn). status is
+    calls: (conv_id, call_id, name, arguments, parent_id, turn), or with an array parent_ids in place of parent_id;
+    results: (conv_id, call_id, content, turn). status is
     linked, no_result or no_call. position counts a conversation's rows from 0 in topological order: by level, then
-    turn of the call, id, and turn of the result, so a call comes after the call it follows; rows without a level
+    turn of the call, id, and turn of the result, so a call comes after every call it follows; rows without a level
     (no call, or a cycle, which is an error) come last. json has its keys sorted and no spaces: arguments, call_id,
     name, result; arguments that are not JSON stay there as the string they are. Calls that repeat an identifier count once, the first by turn; calls and results with null
     identifiers are not linked and keep their rows. Empty tables give an empty result; extra columns are not read.
     """
-    asked = calls.select("conv_id", "call_id", "name", "arguments", "parent_id", F.col("turn").cast("long").alias("turn"))
-    named = asked.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "parent_id")).alias("_first"))
+    parents = F.col("parent_ids") if "parent_ids" in calls.columns else F.array("parent_id")
+    asked = calls.select("conv_id", "call_id", "name", "arguments", parents.alias("parents"), F.col("turn").cast("long").alias("turn"))
+    named = asked.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "parents")).alias("_first"))
     named = cut(named.select("conv_id", "call_id", "_first.*"), "calls")
-    depth = levels(named.select("conv_id", "call_id", "parent_id")).select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
+    depth = levels(named.select("conv_id", "call_id", "parents")).select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
     placed = named.join(depth, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("call_id") == F.col("_i"))).drop("_c", "_i")
     nameless = asked.where("call_id is null").withColumn("level", F.lit(0).cast("long"))
     every = placed.unionByName(nameless).withColumn("_call", F.lit(True))

@@ -110,13 +110,45 @@ def test_tool_calls(spark):
 
 
 def test_long_chains_and_plain_conversations(spark):
-    chain = spark.createDataFrame([(1, str(i), str(i - 1) if i else None) for i in range(70)], "conv_id long, call_id string, parent_id string")
+    chain = spark.createDataFrame([(1, str(i), [str(i - 1) if i else None]) for i in range(70)], "conv_id long, call_id string, parents array<string>")
     assert {r["call_id"]: r["level"] for r in chat.levels(chain).collect()} == {str(i): i for i in range(70)}
     talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", ""), (2, 0, "system", "be"), (2, 1, "robot", "x"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
     out = chat.link_tool_calls(*chat.chat_calls(talk), chat.CHAT_SCHEMAS).collect()
     assert sorted((r["call_id"] or "", r["status"], r["valid"]) for r in out) == [("", "no_result", False), ("1:0", "linked", True), ("1:2", "no_result", False), ("2:0", "no_result", True), ("2:1", "no_result", False)]
 
 
+def longest_ways(parents):
+    """Brute force: {id: level} of {id: parents}, None on or behind a cycle."""
+    out = {}
+    for _ in parents:
+        for i, up in parents.items():
+            known = [p for p in set(up or ()) if p in parents]
+            if i not in out and all(p in out for p in known):
+                out[i] = max((out[p] + 1 for p in known), default=0)
+    return {i: out.get(i) for i in parents}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_of_calls_with_several_parents(spark, seed):
+    rng = random.Random(seed)
+    talks = {}
+    for c in range(12):  # sparse graphs: chains, joints, and in some a cycle
+        size = 14
+        talks[c if c else None] = {str(i): [str(rng.randrange(size if c % 4 == 3 else max(i, 1))) for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))] for i in range(size)}
+    talks[99] = {"a": None, "b": ["a", "a", None, "gone"], "c": ["b", "a"], "d": ["d", "a"], "e": ["d", "c"], "f": ["c"], "g": ["f", "b"]}
+    rows = [(c, i, up) for c, calls in talks.items() for i, up in calls.items()]
+    found = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, parents array<string>")).collect()
+    expected = {(c, i): level for c, calls in talks.items() for i, level in longest_ways(calls).items()}
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in found} == expected and len(found) == len(expected)
+
+
+def test_calls_come_after_every_call_they_follow(spark):
+    calls = spark.createDataFrame([(1, "z", "t", "{}", [], 0), (1, "a", "t", "{}", ["m", "z"], 1), (1, "m", "t", "{}", ["z"], 2)], "conv_id long, call_id string, name string, arguments string, parent_ids array<string>, turn long")
+    results = spark.createDataFrame([(1, "a", "ok", 3)], "conv_id long, call_id string, content string, turn long")
+    out = chat.link_tool_calls(calls, results, {"t": {}}).orderBy("position").collect()
+    assert [(r["call_id"], r["level"], r["status"], r["valid"]) for r in out] == [("z", 0, "no_result", True), ("m", 1, "no_result", True), ("a", 2, "linked", True)]
+
+
 @pytest.mark.parametrize(("hot", "block_words"), [(1000, 800_000), (4, 40), (1, 800_000)])
 def test_stupid_backoff(spark, hot, block_words):
     rows = [(i, t) for i, t, *_ in docs(spark)[0]] + [(None, "a b a b"), (2000, "a b a b"), (2001, "zz"), (2001, "zz")]
