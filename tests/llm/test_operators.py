@@ -397,6 +397,41 @@ def test_classifier(spark):
     assert quality.classify(df.where("doc_id < 5"), labels.limit(0)).where("keep").count() == 5
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_every_trusted_row_is_counted(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "MAP_BITS", bits)
+    n = 20_400
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("stone "), (F.col("id") % 7).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    trusted = quality.trusted_rows(df, labels).cache()
+    assert trusted.count() == n and trusted.where("held").count() == pytest.approx(n / 2, rel=0.05)
+    classes = quality.byte_classes(trusted)
+    assert quality.gram_counts(trusted, classes, 1).agg(F.sum("c")).first()[0] == 7 * n
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_thresholds_are_of_both_halves(spark, odd):
+    """Words that trusted rows of one half alone have raise the threshold, whichever half it is."""
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choice(["the", "an", "er", "on", "sh"]) for _ in range(40)), "en") for i in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = frame.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = [x["doc_id"] for x in frame.where(F.pmod(quality.spread(F.col("doc_id")), F.lit(2)) == odd).collect()][:8]
+    strange = spark.createDataFrame([(i, "ZQ9 XK7 " * 20 if i in half else t, g) for i, t, g in rows], frame.schema)
+    plain, raised = (quality.classify(x, labels).first()["threshold"] for x in (frame, strange))
+    assert raised > 1.2 * plain
+
+
+def test_thresholds_are_exact_quantiles(spark):
+    r = np.random.default_rng(8)
+    scores = {"en": r.normal(3, 1e-4, 2000).round(5), "fr": r.normal(4, 0.5, 41), "xx": r.normal(2, 1, 39), "de": np.full(60, 2.5)}
+    held = spark.createDataFrame([(g, float(x)) for g, v in scores.items() for x in v] + [(None, 1.0), ("en", None)], "lang string, bits double").repartition(3)
+    every = np.append(np.concatenate(list(scores.values())), 1.0)
+    for q in (0.0, 0.5, 0.995, 1.0):
+        found = {x["lang"]: x["limit"] for x in quality.thresholds(held, q, 1.5).collect()}
+        assert found == pytest.approx({**{g: 1.5 * np.quantile(v, q) for g, v in scores.items() if len(v) >= 40}, None: 1.5 * np.quantile(every, q)})
+
+
 def test_grey_images_take_every_coding():
     """Texts, runs, ramps and noise through Huffman codes, back-references, predictors and palettes, both decoders alike."""
     r = np.random.default_rng(5)
