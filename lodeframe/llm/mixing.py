@@ -83,6 +83,26 @@ def curriculum(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return joined.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + last).alias("taken"), times.alias("positions"))
 
 
+def training_line(mixed: DataFrame) -> DataFrame:
+    """The rows and columns of mixed (a curriculum) and places: for each of a row's positions its exact rank, from 0 and
+    gapless, among those of all rows. Ties go by id, size and source; rows without positions have no places.
+
+    Positions are range-sorted; a rank is the count of all earlier ranges and the place in its own.
+    """
+    held = cut(mixed.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    each = held.select("_row", "doc_id", "size", "source", F.explode("positions").alias("position"))
+    order = ["position", "doc_id", "size", "source"]
+    line = cut(each.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", "position", F.monotonically_increasing_id().alias("_at")), "line")
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # as that function numbers rows
+    ranges = line.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_part", F.coalesce(earlier, F.lit(0)).alias("_past"))  # a row for each range
+    ranked = line.join(F.broadcast(ranges), part == F.col("_part")).select(F.col("_row").alias("_of"), "position", (F.col("_past") + own).alias("place"))
+    places = ranked.groupBy("_of").agg(F.sort_array(F.collect_list("place")).alias("places"))  # as many as passes
+    none = F.array().cast("array<long>")
+    return held.join(places, F.col("_row") == F.col("_of"), "left").select(*mixed.columns, F.coalesce("places", none).alias("places"))
+
+
 def training_order(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs once for each position, range-sorted by it, with the columns of docs alone.
 
