@@ -8,6 +8,10 @@
    fingerprint within the distance agrees with it in some group up to t_i differing bits.
 4. Fingerprints and probes meet by (group, value); candidates are verified, and each meeting emits only a
    spanning forest of its verified links, so a dense group of n fingerprints gives n - 1 rows.
+
+With a similarity asked for, the same is done on the fingerprints of the sets of shingles, and goes on over LANES of them
+by other hashes, since 64 bits alone cannot reach so far: texts that agree on 16 bits in a row of any lane meet, those
+near in 128 bits are candidates, and a link needs the exact similarity of the sets.
 """
 
 from __future__ import annotations
@@ -328,9 +332,9 @@ def near_links(fps: DataFrame, rows: int, *, distance: int = 3, groups: int | No
 SEGMENT, LEAST_SEGMENT = 16, 5
 #: Longs of a wide fingerprint.
 WIDE = 4
-#: Bands and the minima in each: two texts of similarity s share no band with probability (1 - s**DEPTH)**BANDS, which is
-#: 6e-7 at 0.8 whatever their length.
-BANDS, DEPTH = 36, 5
+#: Fingerprints of each set of shingles, and the bits of a group in which texts meet: of two sets of similarity 0.8 a bit
+#: differs with probability 0.15, so none of the 124 groups past the first lane agrees with probability 1e-4.
+LANES, GROUP_BITS = 32, 16
 #: Nodes of one component whose sets of shingles meet in one cell.
 SET_CELL = 1_000
 
@@ -362,78 +366,197 @@ def wide_limit(similarity: float) -> int:
     return round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
+def _sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, in order, and their numbers."""
+    if not len(hashes):
+        return hashes, counts
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    once = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))
+    return hashes[once], np.bincount(of[once], minlength=len(counts))
+
+
 def _set_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash of each text's set of shingles; 0 for a text without any."""
-    out = np.zeros(len(counts), dtype=np.uint64)
-    if len(hashes):
-        of = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((hashes, of))
-        hashes, of = hashes[order], of[order]
-        once = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))
-        hashes, of = hashes[once], of[once]
-        at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        out[of[at]] = mix64(np.add.reduceat(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), at))
+    """A hash of each text's set of shingles (as _sets() has them); 0 for a text without any."""
+    out, some = np.zeros(len(counts), dtype=np.uint64), np.flatnonzero(counts)
+    if len(some):
+        out[some] = mix64(np.add.reduceat(mix64(hashes ^ np.uint64(0xA0761D6478BD642F)), (np.cumsum(counts) - counts)[some]))
     return out
 
 
-_MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), dtype=np.uint64)
+_MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, LANES), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
 
-def bands(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each text the hashes of its BANDS groups of DEPTH minima of permuted shingle hashes; none without shingles."""
-    some = np.flatnonzero(counts)
-    out = np.zeros((len(some), BANDS), dtype=np.uint64)
-    if len(some):
-        starts = (np.cumsum(counts) - counts)[some]
-        for b in range(BANDS):
-            held = np.full(len(some), b + 1, dtype=np.uint64)
-            for k in range(b * DEPTH, (b + 1) * DEPTH):
-                held = mix64(held * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((hashes ^ _MASKS[k]) * _FACTORS[k], starts))
-            out[:, b] = held
-    rows = iter(out)
-    return [next(rows) if n else np.zeros(0, np.uint64) for n in counts]
+def lanes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[text, lane]: SimHash fingerprints of each text's hashes, the first lane's by the hashes themselves, as _majority()
+    has them, the others' by further hashes of them. 0 for a text without any."""
+    out, some = np.zeros((len(counts), LANES), dtype=np.uint64), np.flatnonzero(counts)
+    if not len(some):
+        return out
+    n, starts = counts[some], (np.cumsum(counts) - counts)[some]
+    runs = -(-n // 255)  # counters of a byte hold as many
+    first = np.cumsum(runs) - runs
+    cuts = np.repeat(starts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    for lane in range(LANES):
+        h = hashes
+        if lane:
+            h = (hashes ^ _MASKS[lane]) * _FACTORS[lane]
+            h ^= h >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)  # eight counters at a time
+        ones = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+        out[some, lane] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
 
+def _wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for two lanes."""
+    return mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b ^ np.uint64(0xD6E8FEB86659FD93)))
 
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, fp, node, keys, rest): as fingerprints(), with a hash of the set of shingles, the keys that candidates
-    meet by, and the text of rows without an id."""
+
+def sketches(docs: DataFrame, similarity: float, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, fp, node, a, b, wide, keys, rest): as fingerprints(), with a hash of the set of shingles, the fingerprints
+    of its first two lanes, a key of both, its values in the groups of the other lanes, and the text of rows without an id.
+    Sets too small to have a like one that is not equal have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, fps, nodes, keys = utf8(batch.column(1)), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
+            texts, parts = utf8(batch.column(1)), []
             for low, high in text_blocks(texts):
                 hashes, counts = _shingle_hashes(texts[low:high], width)
-                fps.append(_majority(hashes, counts))
-                nodes.append(_set_keys(hashes, counts))
-                keys += bands(hashes, counts)
-            listed = pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))
+                fp = _majority(hashes, counts)
+                hashes, counts = _sets(hashes, counts)
+                wide = lanes(hashes, counts)
+                keys = wide[:, 1:].copy().view(np.uint16).astype(np.int32)
+                keys += np.arange(keys.shape[1], dtype=np.int32) << GROUP_BITS
+                some = counts * (1 - similarity) >= similarity - 1e-9
+                a, b = wide[:, 0].copy(), wide[:, 1].copy()
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * keys.shape[1])).astype(np.int32)), pa.array(keys[some].ravel()))
+                parts.append([*(pa.array(x.view(np.int64)) for x in (fp, _set_keys(hashes, counts), a, b, _wide(a, b))), listed])
             rest = pa.array([t if i is None else None for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (fps, nodes)), listed, rest], ["doc_id", "fp", "node", "keys", "rest"])
+            if parts:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.concat_arrays(x) for x in zip(*parts, strict=True)), rest], ["doc_id", "fp", "node", "a", "b", "wide", "keys", "rest"])
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long, node long, keys array<long>, rest string")
-
-
-def meeting_links(distinct: DataFrame) -> DataFrame:
-    """(u, v): each node (node, keys) that shares a key with others, linked to the least node that has it. Nodes that
-    share a key are so in one component, at one row each."""
+    return chosen.mapInArrow(run, "doc_id long, fp long, node long, a long, b long, wide long, keys array<int>, rest string")
+
+
+def lane_limit(similarity: float) -> int:
+    """Differing bits of two lanes up to which sets of that similarity are candidates: those expected and four and a half
+    deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(128 * share + 4.5 * math.sqrt(128 * share * (1 - share)))
+
+
+def near_in_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of rows of one group (rows are sorted by it) whose two lanes differ in at most limit bits: all such pairs
+    of small groups, a spanning forest of those of larger ones."""
+    few = 12
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(edge, len(group)))
+    small = np.repeat(size <= few, size)
+    for d in range(1, few):
+        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+        near = np.bitwise_count(a[i] ^ a[i + d]) + np.bitwise_count(b[i] ^ b[i + d]) <= limit
+        yield i[near], i[near] + d
+    for at in np.flatnonzero(size > few):
+        left = np.arange(edge[at], edge[at] + size[at])
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                now = front[: max(1, (1 << 21) // len(left))]
+                near = np.bitwise_count(a[now, None] ^ a[None, left]) + np.bitwise_count(b[now, None] ^ b[None, left]) <= limit
+                hit = near.any(axis=0)
+                yield left[hit], now[near.argmax(axis=0)[hit]]
+                front, left = np.concatenate([front[len(now) :], left[hit]]), left[~hit]
+
+
+def stars(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """(node, root) for every node of these links but the roots, the least nodes of their components."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for a, b in zip(u, v, strict=True):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if parent[x] != x]
+    return nodes, [find(x) for x in nodes]
+
+
+def lane_links(distinct: DataFrame, rows: int, similarity: float, *, cell: int = CELL) -> DataFrame:
+    """(u, v) links between wide keys of rows (keys, a, b) that share one of the keys and are near in a and b, as stars
+    around the least of all that a task has linked: the tasks that see a large group so tell the same few links. Keys of
+    more than `cell` rows are dealt into a grid of cells for each two parts of them."""
+    limit = lane_limit(similarity)
+    each = distinct.select(F.explode("keys").alias("key"), "a", "b")
+    # keys of more rows than a cell lie in ranges of keys with more: ranges, as many as rows allow, are counted first
+    bits = min(GROUP_BITS, max(0, math.ceil(math.log2(max(1.0, 4 * rows / cell)))))
+    coarse = F.shiftright("key", GROUP_BITS - bits)
+    full = cut(each.groupBy(coarse.alias("range")).count().where(F.col("count") > cell).select("range"), "hot")
+    hot, n_hot = None, 0
+    if full.count():
+        hot = each.join(full, coarse == F.col("range"), "left_semi").groupBy("key").count().where(F.col("count") > cell)
+        hot = cut(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / cell).cast("int").alias("k")), "hot")
+        n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= 1_000_000 else hot
+        k, own = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("a", "b"), F.coalesce("k", F.lit(1))).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
+        each = each.join(side, F.col("key") == F.col("hot_key"), "left").select("key", F.explode(cells).alias("cell"), "a", "b")
+    else:
+        each = each.select("key", F.lit(0).alias("cell"), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, 0
+        kept, held, us, vs = [], 0, [], []
         for batch in batches:
-            key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if not len(key):
-                continue
-            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lead = np.where(first >= 0, node[first], leader)
-            last, leader = key[-1], lead[-1]
-            other = lead != node
-            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(lead[other])], ["u", "v"])
-
-    each = distinct.select(F.explode("keys").alias("key"), "node")
-    return each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            held += batch.num_rows
+            if held >= 1 << 16:
+                now = [np.concatenate(x) for x in zip(*kept, strict=True)]
+                done = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+                done = done[-1] + 1 if len(done) else 0
+                told([x[:done] for x in now], us, vs)
+                kept = [[x[done:] for x in now]]
+                held = 0  # a cell of many rows is looked at again after as many more
+            if len(us) >= 1 << 18:
+                us, vs = stars(us, vs)
+                if len(us) >= 1 << 17:  # not many links of a few nodes, but links of many nodes
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    us, vs = [], []
+        if kept:
+            told([np.concatenate(x) for x in zip(*kept, strict=True)], us, vs)
+        us, vs = stars(us, vs)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    def told(now: list[np.ndarray], us: list[int], vs: list[int]) -> None:
+        key, part, a, b = now
+        if len(key) > 1:
+            a, b = a.view(np.uint64), b.view(np.uint64)
+            name = _wide(a, b).view(np.int64)
+            group = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            for i, j in near_in_groups(group, a, b, limit):
+                us += name[i].tolist()
+                vs += name[j].tolist()
+
+    return each.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "u long, v long")
+
+
+def candidate_links(distinct: DataFrame, similarity: float, *, distance: int = 3, groups: int | None = None, cell: int = CELL) -> DataFrame:
+    """(u, v) links over wide keys and first fingerprints of the rows (a, b, wide, keys) that are candidates: within distance
+    bits of each other in the first lane, by near_links(), or near in two lanes and met in a group of another."""
+    able = cut(distinct.where(F.size("keys") > 0).select("a", "b", "wide", "keys").distinct(), "able")
+    fps = cut(able.groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n")), "fps")
+    close = cut(near_links(fps, fps.count(), distance=distance, groups=groups, cell=cell).distinct(), "close")
+    # wide keys come to a fingerprint that others have or are close to
+    met = close.select(F.col("u").alias("fp")).unionAll(close.select(F.col("v").alias("fp"))).unionAll(fps.where("n > 1").select("fp")).distinct()
+    joined = able.join(met, F.col("a") == F.col("fp")).select(F.col("wide").alias("u"), F.col("fp").alias("v"))
+    return close.unionAll(joined).unionAll(lane_links(able, able.count(), similarity, cell=cell))
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -461,15 +584,16 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, similarity: float, *, width: int, cell: int = CELL) -> DataFrame:
-    """(u, v) links between nodes (node, least, keys, rest) whose sets of shingles, taken from docs (doc_id, text) once
-    more, have at least the Jaccard similarity: every such pair that some chain of common keys joins is linked, directly
-    or over others that are.
+def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, similarity: float, *, width: int, cell: int = CELL) -> DataFrame:
+    """(u, v) links between nodes (node, least, wide, rest) whose sets of shingles, taken from docs (doc_id, text) once
+    more, have at least the Jaccard similarity: every such pair that some chain of candidate links between wide keys
+    joins is linked, directly or over others that are.
 
-    The sets of one component of meeting_links() come together; where it has more than `cell` nodes, in a grid of
+    The sets of one component of the candidate links come together; where it has more than `cell` nodes, in a grid of
     cells for each two parts of it. Each cell emits a spanning forest of its verified links.
     """
-    placed = cut(components(meeting_links(distinct)), "meetings")
+    roots = components(links).select(F.col("node").alias("wide_node"), "root")
+    placed = cut(distinct.join(roots, F.col("wide") == F.col("wide_node")).select("node", "root"), "meetings")
     hot = cut(placed.groupBy("root").count().where(F.col("count") > cell).select(F.col("root").alias("hot_root"), F.ceil(F.col("count") / cell).cast("int").alias("k")), "hot")
     n_hot = hot.count()
     if n_hot:
@@ -492,6 +616,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, similarity: float, *, w
             texts, out = utf8(batch.column(3)), []
             for low, high in text_blocks(texts):
                 hashes, counts = _shingle_hashes(texts[low:high], width)
+                hashes, counts = _sets(hashes, counts)
                 found, end = _set_keys(hashes, counts).view(np.int64), np.cumsum(counts)
                 for i in range(low, high):
                     if at != (roots[i], cells[i]):
@@ -500,7 +625,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, similarity: float, *, w
                     # rows that repeat an id may have the text of another node
                     if found[i - low] == ids[i] and (not nodes or nodes[-1] != ids[i]):
                         nodes.append(int(ids[i]))
-                        sets.append(np.unique(hashes[end[i - low] - counts[i - low] : end[i - low]]))
+                        sets.append(hashes[end[i - low] - counts[i - low] : end[i - low]])
             yield rows_of(out)
         yield rows_of(told(nodes, sets))
 
@@ -517,9 +642,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     component_id is the least doc_id that fingerprints within distance bits reach. With a similarity it is the least
-    doc_id that links between texts of that Jaccard similarity of their shingles reach, each link verified on the
-    shingles themselves: a similarity of 0.8 moves a 64-bit fingerprint by ten bits, further than any partition can be
-    probed, and fingerprints alone do not tell it from 0.7. Then distance and groups have no use.
+    doc_id that links between texts of that Jaccard similarity of their shingles reach: fingerprints of the sets within
+    distance bits, and, as a similarity of 0.8 moves 64 bits by ten, those near in more lanes (candidate_links()), each
+    verified on the shingles themselves, since fingerprints alone do not tell 0.8 from 0.7.
     Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows and equal texts share a
     fingerprint and so a component. A null doc_id keeps its row; it does not lead a component unless no other is
     there. An empty table gives an empty result. Other columns of docs are not looked at.
@@ -529,11 +654,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         distinct = cut(of.groupBy("node").agg(F.min("doc_id").alias("least")).withColumn("fp", F.col("node")), "distinct")
         links = near_links(distinct, distinct.count(), distance=distance, groups=groups, cell=cell)
     else:
-        of = cut(sketches(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys", "rest"))
-        distinct = cut(of.groupBy("node").agg(one.alias("_one")).select("node", F.col("_one.doc_id").alias("least"), "_one.keys", "_one.rest"), "distinct")
+        of = cut(sketches(docs, similarity, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b", "wide", "keys", "rest"))
+        distinct = cut(of.groupBy("node").agg(one.alias("_one")).select("node", F.col("_one.doc_id").alias("least"), "_one.a", "_one.b", "_one.wide", "_one.keys", "_one.rest"), "distinct")
         chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-        links = verified_links(chosen, distinct, similarity, width=width, cell=min(cell, SET_CELL))
+        near = candidate_links(distinct, similarity, distance=distance, groups=groups, cell=cell)
+        links = verified_links(chosen, distinct, near, similarity, width=width, cell=min(cell, SET_CELL))
     roots = components(links).withColumnRenamed("node", "root_node")
     placed = distinct.join(roots, F.col("node") == F.col("root_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     leaders = placed.groupBy("root").agg(F.min("least").alias("component_id"))
