@@ -119,6 +119,14 @@ def test_nan_is_no_join_key(tables):
     assert ids(run(tables, body, dialect="R")) == [1]
 
 
+@pytest.mark.parametrize(("kind", "expected"), [("inner", [(2, 100), (2, 101), (3, 102)]), ("left", [(1, None), (2, 100), (2, 101), (3, 102)])])
+def test_a_nested_loop_makes_no_product_of_the_tables(tables, kind, expected):
+    body = {"from": {"name": "Port", "as": "p", "joins": [{"type": kind, "from": {"name": "Ship", "as": "s"}, "hints": {"algorithms": ["nestedLoop"]}, "on": on(("port", "p"), ("berth", "s"))}]}, "columns": [field("port", "p"), field("ship", "s")]}
+    assert sorted((tuple(r.values()) for r in run(tables, body)), key=str) == expected
+    plan = to_frame(tables, body)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_ties_keep_the_order_of_the_file(spark, tmp_path, parts):
     """LIMIT over tied keys takes the rows that stand first, however the scan is split; filters reach the scan."""
