@@ -141,10 +141,13 @@ def test_nan_is_no_join_key(tables):
 
 
 @pytest.mark.parametrize(("kind", "expected"), [("inner", [(2, 100), (2, 101), (3, 102)]), ("left", [(1, None), (2, 100), (2, 101), (3, 102)])])
-def test_a_nested_loop_makes_no_product_of_the_tables(tables, kind, expected):
+def test_a_nested_loop_makes_no_product_of_the_tables(spark, tmp_path, kind, expected):
+    spark.createDataFrame([(1,), (2,), (3,)], "port long").write.parquet(str(tmp_path / "Port.parquet"))
+    spark.createDataFrame([(100, 2), (101, 2), (102, 3)], "ship long, berth long").write.parquet(str(tmp_path / "Ship.parquet"))
+    c = Catalog(spark).add_parquet(str(tmp_path), ["Port", "Ship"])
     body = {"from": {"name": "Port", "as": "p", "joins": [{"type": kind, "from": {"name": "Ship", "as": "s"}, "hints": {"algorithms": ["nestedLoop"]}, "on": on(("port", "p"), ("berth", "s"))}]}, "columns": [field("port", "p"), field("ship", "s")]}
-    assert sorted((tuple(r.values()) for r in run(tables, body)), key=str) == expected
-    plan = to_frame(tables, body)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(r.values()) for r in run(c, body)), key=str) == expected
+    plan = to_frame(c, body)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
